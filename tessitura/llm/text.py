@@ -107,14 +107,26 @@ class Chunk:
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(self.texts), self.counts)
 
+    @cached_property
+    def _sums(self) -> np.ndarray:
+        total = np.zeros(len(self.data) + 1, dtype=np.uint64)
+        np.cumsum(_VALUES[self.data] * _POWERS.get(len(self.data))[0][: len(self.data)], out=total[1:])
+        return total
+
+    def _hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        total, down = self._sums, _POWERS.get(len(self.data))[1]
+        return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * _GOLDEN)
+
     @cached_property
     def hashes(self) -> np.ndarray:
         """One uint64 for each word."""
+        return self._hash(*self.spans)
+
+    def prefix_hashes(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(word, hash of its first ``size`` bytes) of the words that are longer."""
         start, end = self.spans
-        up, down = _POWERS.get(len(self.data))
-        total = np.zeros(len(self.data) + 1, dtype=np.uint64)
-        np.cumsum(_VALUES[self.data] * up[: len(self.data)], out=total[1:])
-        return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * _GOLDEN)
+        at = np.flatnonzero(end - start > size)
+        return at, self._hash(start[at], start[at] + size)
 
     def words(self) -> list[bytes]:
         raw = self.data.tobytes()

@@ -1,4 +1,4 @@
-"""Toxicity: a linear classifier over words whose scores must not depend on which group a text mentions."""
+"""Toxicity: a linear classifier over words and their beginnings whose scores must not depend on which group a text mentions."""
 
 from __future__ import annotations
 
@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from .labelled import held_out, training_labels
 from .shared import bounded_batches, extended, schema
-from .text import ALPHANUMERIC, chunks
+from .text import ALPHANUMERIC, Chunk, chunks, mix
 
-#: Hash buckets of words (as bits), labelled documents learnt from, words that may have a weight.
-BUCKET_BITS, TRAIN_ROWS, MOST_WORDS = 18, 20_000, 400
+#: Hash buckets (as bits), labelled documents learnt from, features that may have a weight, bytes of the word beginnings that count as features.
+BUCKET_BITS, TRAIN_ROWS, MOST_WORDS, BEGINNINGS = 20, 20_000, 400, (4, 5, 6, 7)
 
 # Terms for groups of people, by kind; a counterfactual swaps a term for the others of its kind.
 IDENTITY_TERMS = (
@@ -27,18 +27,32 @@ IDENTITY_TERMS = (
 )
 
 
+def features(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """(text, bucket) of the words of a chunk and of the beginnings of longer words, by which inflected forms share a weight."""
+    found = [(np.arange(len(chunk.hashes)), chunk.hashes)]
+    for size in BEGINNINGS:
+        at, value = chunk.prefix_hashes(size)
+        found.append((at, mix(value + np.uint64(size))))
+    word, value = (np.concatenate(x) for x in zip(*found, strict=True))
+    return chunk.text_of_word[word], (value >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
 def word_bucket(words: list[str]) -> np.ndarray:
+    """The buckets of whole words."""
     out = [c.hashes >> np.uint64(64 - BUCKET_BITS) for c in chunks(pa.array(words, pa.string()), ALPHANUMERIC, lower=True)]
     return np.concatenate(out).astype(np.int64) if out else np.zeros(0, dtype=np.int64)
 
 
-def text_buckets(column: pa.Array) -> list[np.ndarray]:
-    """The distinct word buckets of each text, sorted."""
-    out = []
+def distinct_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(text, bucket) of the features of each text, each once."""
+    rows, buckets = [], []
     for chunk in chunks(column, ALPHANUMERIC, lower=True):
-        bucket = (chunk.hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
-        out += [np.unique(bucket[a:b]) for a, b in zip(chunk.word_from[:-1].tolist(), chunk.word_from[1:].tolist(), strict=True)]
-    return out
+        text, bucket = features(chunk)
+        pairs = np.unique((text << BUCKET_BITS) | bucket)
+        rows.append((pairs >> BUCKET_BITS) + chunk.row)
+        buckets.append(pairs & ((1 << BUCKET_BITS) - 1))
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate([none, *rows]), np.concatenate([none, *buckets])
 
 
 @dataclass
@@ -47,12 +61,12 @@ class Linear:
     bias: float
 
     def score(self, column: pa.Array) -> np.ndarray:
-        """The sigmoid of the bias and the weights of the distinct words of each whole text."""
+        """The sigmoid of the bias and the weights of the distinct features of each whole text."""
         heavy, scores = self.weight != 0, []
         for chunk in chunks(column, ALPHANUMERIC, lower=True):
-            bucket = (chunk.hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+            text, bucket = features(chunk)
             at = np.flatnonzero(heavy[bucket])
-            pairs = np.unique((chunk.text_of_word[at] << BUCKET_BITS) | bucket[at])
+            pairs = np.unique((text[at] << BUCKET_BITS) | bucket[at])
             odds = self.bias + np.bincount(pairs >> BUCKET_BITS, weights=self.weight[pairs & ((1 << BUCKET_BITS) - 1)], minlength=chunk.texts)
             scores.append(1 / (1 + np.exp(-np.clip(odds, -500, 500))))
         return np.concatenate(scores) if scores else np.zeros(0)
@@ -77,70 +91,83 @@ def counterfactuals(present: np.ndarray, kinds: list[np.ndarray]) -> np.ndarray:
     return penalty
 
 
-def fit(buckets: list[np.ndarray], label: np.ndarray, *, identity: tuple[tuple[str, ...], ...], fairness: float, ridge: float, least_z: float) -> Linear:
-    """Logistic regression on word presence by Newton steps, with a ridge and a penalty on score changes between counterfactuals.
+def clearest(joined: DataFrame, positive: int, total: int, least_z: float) -> np.ndarray:
+    """The ``MOST_WORDS`` features whose shares among the two labels differ by most standard errors, and by ``least_z`` at least."""
+
+    def count(batches):
+        sums = np.zeros((2, 1 << BUCKET_BITS), dtype=np.int64)
+        for batch in batches:
+            text, bucket = distinct_features(batch.column("text"))
+            label = batch.column("label").to_numpy()[text]
+            for c in (0, 1):
+                sums[c] += np.bincount(bucket[label == c], minlength=1 << BUCKET_BITS)
+        got = np.flatnonzero(sums.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(got), pa.array(sums[0, got]), pa.array(sums[1, got])], names=["bucket", "zero", "one"])
+
+    sums = joined.select("label", "text").mapInArrow(count, schema("bucket long, zero long, one long")).groupBy("bucket").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one"))
+    negative = total - positive
+    share = (F.col("zero") + F.col("one")) / F.lit(float(total))
+    z = F.abs(F.col("one") / F.lit(float(positive)) - F.col("zero") / F.lit(float(negative))) / F.sqrt(F.greatest(share * (1 - share), F.lit(0.25 / total)) * F.lit(1 / positive + 1 / negative))
+    return sums.withColumn("z", z).where(F.col("z") >= least_z).orderBy(F.col("z").desc(), "bucket").limit(MOST_WORDS).select("bucket").toArrow()["bucket"].to_numpy()
+
 
-    Words get a weight if their shares among the two labels differ by ``least_z`` standard errors, the ``MOST_WORDS`` clearest of them;
-    identity terms always take part, so that the penalty can hold them together.
+def fit(x: np.ndarray, label: np.ndarray, kinds: list[np.ndarray], *, fairness: float, ridge: float) -> np.ndarray:
+    """Logistic regression by Newton steps, the last column being constant, with a ridge and a penalty on changes between counterfactuals.
+
+    ``kinds``: the columns of identity terms. They always take part, so that the penalty can hold them together.
     """
-    size, n = 1 << BUCKET_BITS, len(label)
-    flat = np.concatenate([*buckets, np.zeros(0, dtype=np.int32)]).astype(np.int64)
-    row = np.repeat(np.arange(n), [len(b) for b in buckets])
-    ones = float((label == 1).sum())
-    weight = np.zeros(size)
-    if not 0 < ones < n:
-        return Linear(weight, float(np.log((ones + 0.5) / (n - ones + 0.5))))
-    in_one = np.bincount(flat[label[row] == 1], minlength=size) / ones
-    share = np.bincount(flat, minlength=size) / n
-    in_zero = (share * n - in_one * ones) / (n - ones)
-    z = (in_one - in_zero) / np.sqrt(np.maximum(share * (1 - share), 0.25 / n) * (1 / ones + 1 / (n - ones)))
-    chosen = np.argsort(-np.abs(z), kind="stable")[:MOST_WORDS]
-    chosen = chosen[np.abs(z[chosen]) >= least_z]
-    kinds = [word_bucket(list(kind)) for kind in identity]
-    column = np.unique(np.concatenate([chosen, *kinds]))
-    place = np.full(size, -1)
-    place[column] = np.arange(len(column))
-    x = np.zeros((n, len(column) + 1))
-    x[:, -1] = 1
-    mine = place[flat] >= 0
-    x[row[mine], place[flat[mine]]] = 1
-    hold = fairness * counterfactuals(x, [place[k] for k in kinds]) + ridge * np.diag([1.0] * len(column) + [1e-6])
-    w = np.zeros(len(column) + 1)
-    for _ in range(30):
+    hold = fairness * counterfactuals(x, kinds) + ridge * np.diag([1.0] * (x.shape[1] - 1) + [1e-6])
+    w = np.zeros(x.shape[1])
+    for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
         gradient = x.T @ (p - label) + hold @ w
         step = np.linalg.solve((x * np.maximum(p * (1 - p), 1e-9)[:, None]).T @ x + hold, gradient)
         w -= step * min(1.0, 4.0 / max(np.abs(step).max(), 1e-12))
         if np.abs(step).max() < 1e-8:
             break
-    weight[column] = w[:-1]
-    return Linear(weight, float(w[-1]))
+    return w
 
 
 def train(docs: DataFrame, labels: DataFrame, *, key: str, text: str, label: str, modulus: int, kept_out: int, rows: int, identity, fairness: float, ridge: float, least_z: float) -> Linear:
-    """Learns from at most ``rows`` labelled keys, those of the smallest hashes; their words' buckets come to the driver."""
+    """Learns from at most ``rows`` labelled keys, those of the smallest hashes; of each, which chosen features it has comes to the driver."""
     known = training_labels(labels, key=key, label=label, modulus=modulus, kept_out=kept_out)
     sample = F.broadcast(known.orderBy(F.xxhash64("label_key"), "label_key").limit(rows))
     slim = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     joined = slim.join(sample, F.col("id") == F.col("label_key")).select("id", "label", "text")
+    counted = {r["label"]: r["n"] for r in joined.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    positive, total = counted.get(1, 0), sum(counted.values())
+    weight = np.zeros(1 << BUCKET_BITS)
+    if not 0 < positive < total:
+        return Linear(weight, float(np.log((positive + 0.5) / (total - positive + 0.5))))
+    kinds = [word_bucket(list(kind)) for kind in identity]
+    column = np.unique(np.concatenate([clearest(joined, positive, total, least_z), *kinds]))
 
-    def words(batches):
+    def present(batches):
+        place = np.full(1 << BUCKET_BITS, -1)
+        place[column] = np.arange(len(column))
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(text_buckets(batch.column("text")), pa.list_(pa.int32()))], names=["id", "label", "words"])
+            text, bucket = distinct_features(batch.column("text"))
+            mine = place[bucket] >= 0
+            at = np.searchsorted(text[mine], np.arange(batch.num_rows + 1)).astype(np.int32)
+            has = pa.ListArray.from_arrays(pa.array(at), pa.array(place[bucket[mine]].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), has], names=["id", "label", "has"])
 
     # a key that repeats is learnt from once
-    got = joined.mapInArrow(words, schema("id long, label int, words array<int>")).groupBy("id").agg(F.min(F.struct("label", "words")).alias("r")).select("id", "r.*").toArrow().sort_by("id")
-    flat, offset = got["words"].combine_chunks(), None
-    offset = flat.offsets.to_numpy() if len(flat) else np.zeros(1, dtype=np.int64)
-    values = flat.values.to_numpy() if len(flat) else np.zeros(0, dtype=np.int32)
-    buckets = [values[a:b] for a, b in zip(offset[:-1].tolist(), offset[1:].tolist(), strict=True)]
-    return fit(buckets, got["label"].to_numpy().astype(np.int64), identity=identity, fairness=fairness, ridge=ridge, least_z=least_z)
+    got = joined.mapInArrow(present, schema("id long, label int, has array<int>")).groupBy("id").agg(F.min(F.struct("label", "has")).alias("r")).select("id", "r.*").toArrow().sort_by("id")
+    has = got["has"].combine_chunks()
+    x = np.zeros((len(has), len(column) + 1))
+    x[:, -1] = 1
+    x[np.repeat(np.arange(len(has)), np.diff(has.offsets.to_numpy())), has.flatten().to_numpy()] = 1
+    place = {b: i for i, b in enumerate(column.tolist())}
+    w = fit(x, got["label"].to_numpy().astype(float), [np.array([place[b] for b in k.tolist()]) for k in kinds], fairness=fairness, ridge=ridge)
+    weight[column] = w[:-1]
+    return Linear(weight, float(w[-1]))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", modulus: int = 4, kept_out: int = 2, threshold: float = 0.3, rows: int = TRAIN_ROWS, identity: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, fairness: float = 50.0, ridge: float = 0.5, least_z: float = 6.0) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", modulus: int = 4, kept_out: int = 2, threshold: float = 0.3, rows: int = TRAIN_ROWS, identity: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, fairness: float = 50.0, ridge: float = 0.5, least_z: float = 6.5) -> DataFrame:
     """Adds score (0 to 1; higher: label 1 likelier), predicted (1 from ``threshold``) and held_out to every document.
 
-    The distinct words of whole texts alone make a score. Learnt from labelled documents whose crc32(key as text) leaves another remainder
+    The distinct words and word beginnings of whole texts alone make a score. Learnt from labelled documents whose crc32(key as text) leaves another remainder
     than ``kept_out`` modulo ``modulus``, at most ``rows`` of them. ``fairness`` weighs how much a score may change when identity terms are
     swapped. Null and empty texts score as texts without telling words. Without usable labels all scores are even. Labels that are null or
     not 0 or 1, or have a null key, do not count; of unlike labels of one key the largest does. Repeated documents score alike. Extra
