@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from .components import components
 from .shared import bounded_batches, schema, stored
 from .sketches import Bands, exact_classes, sketch_keys
-from .text import NOT_SPACE, chunks, mix
+from .text import NOT_SPACE, chunks, gathered, mix, trim
 
 #: Stands for a null key: before all others.
 NULL_KEY = -(2**63)
-#: Bytes of text that a map task gathers before it deals out shingles; items that meet in one exact comparison; bits of the row filter.
-GATHER_BYTES, GROUP_ITEMS, FILTER_BITS = 16 << 20, 1_500_000, 1 << 27
+#: Bytes of text that a map task gathers before it deals out shingles; items that meet in one exact comparison; bits of the row filter; slices
+#: of a bucket that are sorted one after the other.
+GATHER_BYTES, GROUP_ITEMS, FILTER_BITS, SLICES = 8 << 20, 1_500_000, 1 << 27, 8
 
 
 def fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -30,19 +31,6 @@ def fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nda
     return sizes, *sums
 
 
-def gathered(batches, size: int):
-    """Arrow batches joined until they hold about ``size`` bytes."""
-    held, nbytes = [], 0
-    for batch in batches:
-        held.append(batch)
-        nbytes += batch.nbytes
-        if nbytes >= size:
-            yield pa.Table.from_batches(held).combine_chunks()
-            held, nbytes = [], 0
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
 def all_sets(column: pa.Array, width: int) -> list[np.ndarray]:
     return [s for c in chunks(column, NOT_SPACE, lower=True) for s in c.shingle_sets(width)]
 
@@ -97,7 +85,7 @@ def profile(docs: DataFrame, width: int, parts: int) -> DataFrame:
             none = pa.nulls(len(rows), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array(np.ones(len(rows), dtype=np.int32)), none, none, none, none, pa.array([r[1] for r in rows], pa.binary())], names=fields.names)
 
-    out = schema("kind int, id long, n long, node long, check long")
+    between = schema("part int, kind int, id long, n long, node long, check long, pack binary")
 
     def count(batches):
         held: dict[int, list] = {}
@@ -105,37 +93,73 @@ def profile(docs: DataFrame, width: int, parts: int) -> DataFrame:
             kind = batch.column("kind").to_numpy()
             plain = batch.filter(pa.array(kind == 0))
             if plain.num_rows:
-                yield plain.select(out.names)
+                yield plain
             packs = batch.filter(pa.array(kind == 1))
             for b, pack in zip(packs.column("part").to_pylist(), packs.column("pack").to_pylist(), strict=True):
                 held.setdefault(b, []).append(pack)
         for packs in held.values():
-            names, counts, shared, prints = [], [], [], []
-            for pack in packs:
-                size, has = np.frombuffer(pack, np.int32, 2)
-                names.append(np.frombuffer(pack, np.int64, size, 8))
-                counts.append(np.frombuffer(pack, np.int32, size, 8 + 8 * size))
-                flag = np.zeros(size, dtype=bool)
-                flag[0] = has
-                shared.append(flag)
-                prints.append(np.frombuffer(pack, np.uint8, offset=8 + 12 * size).reshape(-1, 5))
-            names, counts, shared = (np.concatenate(x) for x in (names, counts, shared))
-            raw = np.zeros((int(counts.sum()), 8), dtype=np.uint8)
-            raw[:, :5] = np.concatenate(prints)
+            nodes, total = alone_in(packs)
+            # to where the set's own total is made: one pack for each place, not a row for each set
+            where = (mix(nodes.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            order, begin = _groups(where, parts)
+            to = np.flatnonzero(np.diff(begin))
+            bodies = [nodes[order[begin[t] : begin[t + 1]]].tobytes() + total[order[begin[t] : begin[t + 1]]].tobytes() for t in to]
+            none = pa.nulls(len(to), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(np.ones(len(to), dtype=np.int32)), none, none, none, none, pa.array(bodies, pa.binary())], names=between.names)
+        trim()
+
+    out = schema("kind int, id long, n long, node long, check long")
+
+    def total(batches):
+        nodes, counts = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for batch in batches:
+            kind = batch.column("kind").to_numpy()
+            plain = batch.filter(pa.array(kind == 0))
+            if plain.num_rows:
+                yield plain.select(out.names)
+            for pack in batch.filter(pa.array(kind == 1)).column("pack").to_pylist():
+                half = len(pack) // 16
+                nodes.append(np.frombuffer(pack, np.int64, half))
+                counts.append(np.frombuffer(pack, np.int64, half, 8 * half))
+        names, at = np.unique(np.concatenate(nodes), return_inverse=True)
+        sums = np.zeros(len(names), dtype=np.int64)
+        np.add.at(sums, at, np.concatenate(counts))
+        none = pa.nulls(len(names), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(names), dtype=np.int32)), none, pa.array(sums), pa.array(names), none], names=out.names)
+        trim()
+
+    return stored(docs.mapInArrow(deal, fields).repartition(parts, "part").mapInArrow(count, between).repartition(parts, "part").mapInArrow(total, out))
+
+
+def alone_in(packs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(node, number of its fingerprints that no other node has) over the packs of one bucket."""
+    names, counts, shared, prints = [], [], [], []
+    for pack in packs:
+        size, has = np.frombuffer(pack, np.int32, 2)
+        names.append(np.frombuffer(pack, np.int64, size, 8))
+        counts.append(np.frombuffer(pack, np.int32, size, 8 + 8 * size))
+        flag = np.zeros(size, dtype=bool)
+        flag[0] = has
+        shared.append(flag)
+        prints.append(np.frombuffer(pack, np.uint8, offset=8 + 12 * size).reshape(-1, 5))
+    names, counts, shared, prints = (np.concatenate(x) for x in (names, counts, shared, prints))
+    nodes, place = np.unique(names, return_inverse=True)
+    entry = np.repeat(np.arange(len(names), dtype=np.int32), counts)
+    total = np.zeros(len(nodes), dtype=np.int64)
+    for piece in range(SLICES):
+        rows = np.flatnonzero(prints[:, 4] % SLICES == piece)
+        if len(rows):
+            raw = np.zeros((len(rows), 8), dtype=np.uint8)
+            raw[:, :5] = prints[rows]
             value = raw.view(np.uint64).ravel()
-            nodes, place = np.unique(names, return_inverse=True)
-            entry = np.repeat(np.arange(len(names)), counts)
             order = np.argsort(value, kind="stable")
-            value, entry = value[order], entry[order]
+            value, who = value[order], entry[rows[order]]
             new = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
-            least, most = np.minimum.reduceat(place[entry], new), np.maximum.reduceat(place[entry], new)
-            alone = (least == most) & ~np.logical_or.reduceat(shared[entry], new)
-            total = np.bincount(least[alone], minlength=len(nodes))
-            got = np.flatnonzero(total)
-            none = pa.nulls(len(got), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(got), dtype=np.int32)), none, pa.array(total[got]), pa.array(nodes[got]), none], names=out.names)
-
-    return stored(docs.mapInArrow(deal, fields).repartition(parts, "part").mapInArrow(count, out))
+            least, most = np.minimum.reduceat(place[who], new), np.maximum.reduceat(place[who], new)
+            alone = (least == most) & ~np.logical_or.reduceat(shared[who], new)
+            total += np.bincount(least[alone], minlength=len(nodes))
+    got = np.flatnonzero(total)
+    return nodes[got], total[got]
 
 
 def row_filter(ids: DataFrame) -> tuple[np.ndarray, int]:
@@ -306,7 +330,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     slim = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NULL_KEY)).alias("id"), F.col(f"`{text}`").alias("text"))
     profiled = profile(slim, width, parts)
     each = profiled.where("kind = 0").select("id", "n", "node", "check")
-    alone = profiled.where("kind = 1").groupBy("node").agg(F.sum("n").alias("alone"))
+    alone = profiled.where("kind = 1").select("node", F.col("n").alias("alone"))
     nodes = each.where("n > 0").groupBy("node", "check", "n").agg(F.min("id").alias("id"))
     left = nodes.join(alone, "node", "left").where(F.coalesce("alone", F.lit(0)) * num <= F.col("n") * (den - num)).select("node", "check", "n", "id")
     left = stored(left)

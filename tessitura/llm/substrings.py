@@ -8,12 +8,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .jaccard import NULL_KEY, gathered
+from .jaccard import NULL_KEY
 from .shared import bounded_batches, extended, schema
-from .text import NOT_SPACE, Chunk, chunks, mix, powers, rolling
+from .text import NOT_SPACE, Chunk, chunks, gathered, mix, powers, rolling, trim
 
 #: Words of a minimiser; bytes of text that a map task gathers; packed bytes that a bucket should hold.
-MINIMISER, GATHER_BYTES, BUCKET_BYTES = 3, 16 << 20, 6 << 20
+MINIMISER, GATHER_BYTES, BUCKET_BYTES = 3, 12 << 20, 4 << 20
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -178,6 +178,7 @@ def repeated_windows(docs: DataFrame, width: int, buckets: int) -> DataFrame:
                     held[:] = [one]
                     yield close()
                     held, size = [], 0
+                    trim()
                 now = bucket
                 got = unpack(blob)
                 held.append(got)

@@ -6,7 +6,9 @@ texts and whole chunks are handled by array operations. Hashes are 64-bit and de
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -191,3 +193,26 @@ def chunks(column: pa.Array, is_word: np.ndarray, lower: bool, limit: int | None
         data[keep] = _LOWER[piece] if lower else piece
         yield Chunk(row, data, first, last, is_word)
         row = end
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, so that a worker does not keep its peak."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def gathered(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """Arrow batches joined until they hold about ``size`` bytes."""
+    held, nbytes = [], 0
+    for batch in batches:
+        held.append(batch)
+        nbytes += batch.nbytes
+        if nbytes >= size:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, nbytes = [], 0
+            trim()
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+    held = []
+    trim()
