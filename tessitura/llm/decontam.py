@@ -184,7 +184,7 @@ def mark_benchmark(docs: DataFrame, items: DataFrame, *, text: str = "text", ite
     """
     spark: SparkSession = docs.sparkSession
     bounded_batches(spark)
-    key, marks = spare(docs, "body_key"), []
+    key, ids_name, found_name, marks = spare(docs, "body_key"), spare(docs, "_ids"), spare(docs, "_found"), []
     indexes = (build_index(docs, text, Windows.of(*block, width)) for block in item_blocks(items, item_key, item_text, block_bytes))
     shared = [spark.sparkContext.broadcast(index) for index in indexes]
     ddl = "n_words long, n_hit long, item_ids array<string>, spans array<struct<first:long,end:long>>"
@@ -228,12 +228,12 @@ def mark_benchmark(docs: DataFrame, items: DataFrame, *, text: str = "text", ite
     for more in marks[1:]:
         union = union.unionByName(more)
     # copies of a text have the same marks: sets of them stay small
-    merged = union.groupBy(key).agg(F.array_distinct(F.flatten(F.collect_set("ids"))).alias("_ids"), F.array_distinct(F.flatten(F.collect_set("found"))).alias("_found"))
+    merged = union.groupBy(key).agg(F.array_distinct(F.flatten(F.collect_set("ids"))).alias(ids_name), F.array_distinct(F.flatten(F.collect_set("found"))).alias(found_name))
     joined = docs.withColumn(key, F.md5(f"`{text}`")).join(merged, key, "left").drop(key)
 
     def finish(batch: pa.RecordBatch) -> list[pa.Array]:
         counts = [n for chunk in chunks(batch.column(text), ALPHANUMERIC, lower=True) for n in chunk.counts.tolist()]
-        spans = [spans_of(np.array([x["first"] for x in f]), np.array([x["end"] - x["first"] for x in f])) if f else [] for f in batch.column("_found").to_pylist()]
-        return results(counts, spans, [sorted(x or ()) for x in batch.column("_ids").to_pylist()])
+        spans = [spans_of(np.array([x["first"] for x in f]), np.array([x["end"] - x["first"] for x in f])) if f else [] for f in batch.column(found_name).to_pylist()]
+        return results(counts, spans, [sorted(x or ()) for x in batch.column(ids_name).to_pylist()])
 
-    return extended(joined, finish, ddl).drop("_ids", "_found")
+    return extended(joined, finish, ddl).drop(ids_name, found_name)

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import extended
+from .shared import extended, spare
 
 #: Stands for a null key in the order of documents: before all others.
 NULL_KEY = -(2**63)
@@ -37,12 +37,13 @@ def drop_repeated_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "te
     Extra columns stay. A window's count is partially summed before its shuffle, and hot windows meet their first place in a join that
     adaptive execution can split.
     """
-    starts = repeated_starts(docs, key=key, text=text, width=width).select(F.col("key").alias("_key"), F.col("body").alias("_body"), F.col("starts").alias("_starts"))
-    joined = docs.join(starts, (F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NULL_KEY)) == F.col("_key")) & (F.xxhash64(f"`{text}`") == F.col("_body")), "left").drop("_key", "_body")
+    k, b, held = (spare(docs, name) for name in ("_key", "_body", "_starts"))
+    starts = repeated_starts(docs, key=key, text=text, width=width).select(F.col("key").alias(k), F.col("body").alias(b), F.col("starts").alias(held))
+    joined = docs.join(starts, (F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NULL_KEY)) == F.col(k)) & (F.xxhash64(f"`{text}`") == F.col(b)), "left").drop(k, b)
 
     def keep(batch: pa.RecordBatch) -> list[pa.Array]:
         total, removed, kept = [], [], []
-        for body, starts in zip(batch.column(text).to_pylist(), batch.column("_starts").to_pylist(), strict=True):
+        for body, starts in zip(batch.column(text).to_pylist(), batch.column(held).to_pylist(), strict=True):
             lines = [] if body is None else body.split("\n")
             covered = {s + k for s in starts or () for k in range(width)}
             total.append(len(lines))
@@ -50,4 +51,4 @@ def drop_repeated_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "te
             kept.append(body if not covered else "\n".join(x for i, x in enumerate(lines) if i not in covered))
         return [pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
 
-    return extended(joined, keep, "n_lines long, n_removed long, kept string").drop("_starts")
+    return extended(joined, keep, "n_lines long, n_removed long, kept string").drop(held)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .jaccard import NULL_KEY
-from .shared import bounded_batches, extended, schema
+from .shared import bounded_batches, extended, schema, spare
 from .text import NOT_SPACE, Chunk, chunks, gathered, mix, powers, rolling, trim
 
 #: Words of a minimiser; bytes of text that a map task gathers; packed bytes that a bucket should hold.
@@ -212,11 +212,12 @@ def drop_repeated_windows(docs: DataFrame, *, key: str = "doc_id", text: str = "
     slim = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NULL_KEY)).alias("key"), F.hash(f"`{text}`").alias("body"), F.col(f"`{text}`").alias("text")).where("text is not null")
     total = slim.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     repeats = repeated_windows(slim, width, max(1, 3 * total // bucket_bytes))
-    spans = repeats.groupBy("key", "body").agg(F.collect_list(F.struct("first", "count")).alias("_spans")).select(F.col("key").alias("_key"), F.col("body").alias("_body"), "_spans")
-    joined = docs.join(spans, (F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NULL_KEY)) == F.col("_key")) & (F.hash(f"`{text}`") == F.col("_body")), "left").drop("_key", "_body")
+    k, b, held = (spare(docs, name) for name in ("_key", "_body", "_spans"))
+    spans = repeats.groupBy("key", "body").agg(F.collect_list(F.struct("first", "count")).alias(held)).select(F.col("key").alias(k), F.col("body").alias(b), held)
+    joined = docs.join(spans, (F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NULL_KEY)) == F.col(k)) & (F.hash(f"`{text}`") == F.col(b)), "left").drop(k, b)
 
     def keep(batch: pa.RecordBatch) -> list[pa.Array]:
-        spans = batch.column("_spans")
+        spans = batch.column(held)
         size = np.where(spans.is_valid().to_numpy(zero_copy_only=False), np.diff(spans.offsets.to_numpy()), 0)
         flat = spans.flatten()
         first, count = flat.field(0).to_numpy(zero_copy_only=False).astype(np.int64), flat.field(1).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -248,4 +249,4 @@ def drop_repeated_windows(docs: DataFrame, *, key: str = "doc_id", text: str = "
             kept.append(pa.StringArray.from_buffers(chunk.texts, pa.py_buffer(edges.tobytes()), pa.py_buffer(data[mask].tobytes())))
         return [pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.concat_arrays(kept) if kept else pa.array([], pa.string())]
 
-    return extended(joined, keep, "n_words long, n_removed long, kept string").drop("_spans")
+    return extended(joined, keep, "n_words long, n_removed long, kept string").drop(held)

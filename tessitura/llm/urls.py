@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, extended, schema
+from .shared import bounded_batches, extended, spare
 
 #: Longest word that a split considers, in characters.
 LONGEST_WORD = 20
@@ -171,14 +171,15 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], *, corpus: DataFrame, ur
     named = hosts.withColumn("parts", parts)
     split = split_names(named.select(F.explode("parts").alias("name")).distinct(), word_counts(corpus, html=html), trusted)
     by_host = named.select("host", F.posexplode("parts").alias("at", "name")).join(split, "name").groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "words"))), lambda x: x["words"])).alias("words"))
-    joined = placed.join(by_host.withColumnRenamed("host", "_host").withColumnRenamed("words", "_words"), F.col("host") == F.col("_host"), "left").drop("_host")
+    other, held, fit = (spare(pages, name) for name in ("_host", "_words", "_rule"))
+    joined = placed.join(by_host.select(F.col("host").alias(other), F.col("words").alias(held)), F.col("host") == F.col(other), "left").drop(other)
 
     def odds(batch: pa.RecordBatch) -> list[pa.Array]:
-        words, paths = batch.column("_words").to_pylist(), batch.column("path").to_pylist()
+        words, paths = batch.column(held).to_pylist(), batch.column("path").to_pylist()
         scores = [model.score([*(w or ()), *(x for x in re.split("[^a-z]+", p.lower()) if x)]) for w, p in zip(words, paths, strict=True)]
         return [pa.array(np.array(scores, dtype=np.float64))]
 
-    scored = extended(joined, odds, "log_odds double").drop("_words")
-    chosen = scored.withColumn("_rule", longest_rule(F.col("host"), F.col("path"), rules))
-    verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("log_odds") > 0, "block").otherwise("allow"))
-    return chosen.withColumns({"rule": F.col("_rule.text"), "verdict": verdict}).drop("_rule")
+    scored = extended(joined, odds, "log_odds double").drop(held)
+    chosen = scored.withColumn(fit, longest_rule(F.col("host"), F.col("path"), rules))
+    verdict = F.coalesce(F.col(f"{fit}.verdict"), F.when(F.col("log_odds") > 0, "block").otherwise("allow"))
+    return chosen.withColumns({"rule": F.col(f"{fit}.text"), "verdict": verdict}).drop(fit)
