@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .decontam import mark_benchmark
 from .jaccard import near_duplicates
 from .lines import drop_repeated_lines
-from .mixing import mix, poisson_steps
+from .mixing import mix
 from .quality import score_quality
 from .sharding import shard_documents
 from .shared import table
@@ -80,5 +80,55 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_rendezvous_shards, op2_poisson_mix, op3_url_filter, op4_benchmark_windows, op5_repeated_windows, op6_quality, op7_repeated_lines, op8_ngram_jaccard, op9_exact_top_k, op10_toxicity)}
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_LOWERED = f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')"
+_ALPHANUMERIC = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_NOT_SPACE = r"[^\x20\x09-\x0D]+"
+
+
+def _mix_sql() -> str:
+    """The counts of ``mix``: a recursive Poisson distribution for each source, and the same hash."""
+    named = ", ".join(f"'{k}'" for k in WEIGHTS)
+    wanted = ", ".join(f"('{k}', {v}::double)" for k, v in WEIGHTS.items())
+    return f"""with recursive d as (select doc_id, source, case when source in ({named}) then source else '*' end as g, strlen(coalesce(text, '')) as size, ('0x' || substr(md5('{MIX_SEED}|' || doc_id), 1, 12))::bigint as h from documents),
+s as (select g, sum(size) as size from d group by 1 having sum(size) > 0), w(g, w) as (values {wanted}, ('*', {REST}::double)),
+r as (select g, (select sum(size) from s) * w / (select sum(w) from s join w using (g)) / size as rate from s join w using (g)),
+p(g, rate, k, term, total) as (select g, rate, 0, exp(-rate), exp(-rate) from r union all select g, rate, k + 1, term * rate / (k + 1), total + term * rate / (k + 1) from p where k < rate + 60),
+n as (select doc_id, source, size, count(*) filter (least(1, total) <= (h + 0.5::double) * pow(2.0::double, -48)) as n from d join p using (g) group by d.doc_id, d.source, d.size)
+select doc_id, source, unnest(range(0, n))::int as copy, size::bigint as size from n where n > 0"""
+
+
+_DECONTAM_SQL = f"""with d as (select doc_id, regexp_extract_all({_LOWERED}, '{_ALPHANUMERIC}') as ws from documents), b as (select item_id::varchar as item, regexp_extract_all({_LOWERED}, '{_ALPHANUMERIC}') as ws from benchmark),
+iw as (select distinct item, n, array_to_string(ws[i : i + n - 1], ' ') as win from (select item, ws, least(10, len(ws)) as n, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) as i from b where len(ws) > 0)),
+dw as (select doc_id, n, i, array_to_string(ws[i : i + n - 1], ' ') as win from (select doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) as i from d, (select distinct n from iw) where len(ws) >= n)),
+h as (select doc_id, i, n, item from dw join iw using (n, win)), c as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from h) group by 1),
+t as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as ids from (select distinct doc_id, item from h) group by 1)
+select doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated from d left join c using (doc_id) left join t using (doc_id)"""
+
+_SUBSTRING_SQL = f"""with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '{_NOT_SPACE}') as ws from documents),
+w as (select doc_id, i, array_to_string(ws[i : i + 19], ' ') as win from (select doc_id, ws, unnest(range(1, len(ws) - 18)) as i from d where len(ws) >= 20)),
+r as (select doc_id, i from (select doc_id, i, row_number() over (partition by win order by doc_id, i) as rn from w) where rn > 1), c as (select distinct doc_id, unnest(range(i, i + 20)) as p from r),
+k as (select doc_id, p, ws[p] as word from (select doc_id, ws, unnest(range(1, len(ws) + 1)) as p from d) a anti join c using (doc_id, p)), t as (select doc_id, count(*) as n, string_agg(word, ' ' order by p) as kept from k group by 1)
+select doc_id, len(ws)::bigint as n_words, len(ws) - coalesce(n, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join t using (doc_id)"""
+
+_LINE_SQL = """with d as (select doc_id, string_split(text, chr(10)) as ls from documents where text is not null),
+w as (select doc_id, i, array_to_string(ls[i : i + 2], chr(10)) as win from (select doc_id, ls, unnest(range(1, len(ls) - 1)) as i from d where len(ls) >= 3)),
+r as (select doc_id, i from (select doc_id, i, row_number() over (partition by win order by doc_id, i) as rn from w) where rn > 1), c as (select distinct doc_id, unnest(range(i, i + 3)) as p from r),
+k as (select doc_id, p, ls[p] as line from (select doc_id, ls, unnest(range(1, len(ls) + 1)) as p from d) a anti join c using (doc_id, p)), t as (select doc_id, count(*) as n, string_agg(line, chr(10) order by p) as kept from k group by 1)
+select doc_id, coalesce(len(ls), 0)::bigint as n_lines, coalesce(len(ls) - coalesce(n, 0), 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from documents left join d using (doc_id) left join t using (doc_id)"""
+
+_JACCARD_SQL = f"""with recursive d as (select doc_id, regexp_extract_all({_LOWERED}, '{_NOT_SPACE}') as ws from documents),
+s as (select distinct doc_id, case when len(ws) < 3 then array_to_string(ws, ' ') else array_to_string(ws[i : i + 2], ' ') end as g from (select doc_id, ws, unnest(range(1, greatest(2, len(ws) - 1))) as i from d where len(ws) > 0)),
+n as (select doc_id, count(*) as n from s group by 1), p as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b using (g) where a.doc_id <> b.doc_id group by 1, 2),
+l as (select x, y from p join n a on x = a.doc_id join n b on y = b.doc_id where 100 * c >= 90 * (a.n + b.n - c)),
+reach(x, y) as (select x, y from l union select r.x, l.y from reach r join l on r.y = l.x)
+select doc_id, coalesce(n.n, 0) as n_shingles, least(doc_id, coalesce((select min(y) from reach where x = doc_id), doc_id)) as component_id from d left join n using (doc_id)"""
+
+_TOP_K_SQL = """with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as q from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding) and len(embedding) > 0),
+s as (select a.vec_id as query_id, b.vec_id, list_dot_product(a.q, b.q)::bigint as score from v a join v b on a.vec_id <> b.vec_id and a.vec_id % 50 = 0)
+select query_id, rank::int as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Sharding has none since no SQL function here makes a CRC-32; the url filter and the classifiers have trained parts."""
+    return {"op2_poisson_mix": _mix_sql(), "op4_benchmark_windows": _DECONTAM_SQL, "op5_repeated_windows": _SUBSTRING_SQL, "op7_repeated_lines": _LINE_SQL, "op8_ngram_jaccard": _JACCARD_SQL, "op9_exact_top_k": _TOP_K_SQL}
