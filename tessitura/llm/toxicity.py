@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,10 +38,9 @@ def features(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     return chunk.text_of_word[word], (value >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
-def word_bucket(words: list[str]) -> np.ndarray:
-    """The buckets of whole words."""
-    out = [c.hashes >> np.uint64(64 - BUCKET_BITS) for c in chunks(pa.array(words, pa.string()), ALPHANUMERIC, lower=True)]
-    return np.concatenate(out).astype(np.int64) if out else np.zeros(0, dtype=np.int64)
+def term_features(terms: Sequence[str]) -> list[np.ndarray]:
+    """For each term its buckets: first the word, then its beginnings."""
+    return [features(chunk)[1] for term in terms for chunk in chunks(pa.array([term], pa.string()), ALPHANUMERIC, lower=True)]
 
 
 def distinct_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -72,22 +72,24 @@ class Linear:
         return np.concatenate(scores) if scores else np.zeros(0)
 
 
-def counterfactuals(present: np.ndarray, kinds: list[np.ndarray]) -> np.ndarray:
-    """Changes of feature vectors when identity terms are swapped: a row for each term present and each other term of its kind.
+def counterfactuals(present: np.ndarray, kinds: list[list[np.ndarray]]) -> np.ndarray:
+    """The sum of outer products of the changes that swapping identity terms makes to feature vectors.
 
-    ``kinds``: columns of the terms, by kind. Rows beyond those of one text and kind pair only repeat each other, so sums of outer products
-    are all that is kept: a matrix over the features.
+    ``kinds``: by kind, the columns of each term. A text with a term is swapped to each other term of its kind, which takes away the term's
+    word and beginnings and brings the other's.
     """
     d = present.shape[1]
     penalty = np.zeros((d, d))
-    for columns in kinds:
-        for a in columns:
-            has = float(present[:, a].sum())
-            for b in columns:
-                if has and a != b:
-                    step = np.zeros(d)
-                    step[a], step[b] = -1.0, 1.0
-                    penalty += has / (len(columns) - 1) * np.outer(step, step)
+    for terms in kinds:
+        for a in terms:
+            has = float(present[:, a[0]].sum())
+            for b in terms:
+                step = np.zeros(d)
+                step[a] -= 1
+                step[b] += 1
+                step = np.clip(step, -1, 1)
+                if has and step.any():
+                    penalty += has / (len(terms) - 1) * np.outer(step, step)
     return penalty
 
 
@@ -111,7 +113,7 @@ def clearest(joined: DataFrame, positive: int, total: int, least_z: float) -> np
     return sums.withColumn("z", z).where(F.col("z") >= least_z).orderBy(F.col("z").desc(), "bucket").limit(MOST_WORDS).select("bucket").toArrow()["bucket"].to_numpy()
 
 
-def fit(x: np.ndarray, label: np.ndarray, kinds: list[np.ndarray], *, fairness: float, ridge: float) -> np.ndarray:
+def fit(x: np.ndarray, label: np.ndarray, kinds: list[list[np.ndarray]], *, fairness: float, ridge: float) -> np.ndarray:
     """Logistic regression by Newton steps, the last column being constant, with a ridge and a penalty on changes between counterfactuals.
 
     ``kinds``: the columns of identity terms. They always take part, so that the penalty can hold them together.
@@ -139,8 +141,8 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str, text: str, label: str
     weight = np.zeros(1 << BUCKET_BITS)
     if not 0 < positive < total:
         return Linear(weight, float(np.log((positive + 0.5) / (total - positive + 0.5))))
-    kinds = [word_bucket(list(kind)) for kind in identity]
-    column = np.unique(np.concatenate([clearest(joined, positive, total, least_z), *kinds]))
+    kinds = [term_features(kind) for kind in identity]
+    column = np.unique(np.concatenate([clearest(joined, positive, total, least_z), *(t for kind in kinds for t in kind)]))
 
     def present(batches):
         place = np.full(1 << BUCKET_BITS, -1)
@@ -159,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str, text: str, label: str
     x[:, -1] = 1
     x[np.repeat(np.arange(len(has)), np.diff(has.offsets.to_numpy())), has.flatten().to_numpy()] = 1
     place = {b: i for i, b in enumerate(column.tolist())}
-    w = fit(x, got["label"].to_numpy().astype(float), [np.array([place[b] for b in k.tolist()]) for k in kinds], fairness=fairness, ridge=ridge)
+    w = fit(x, got["label"].to_numpy().astype(float), [[np.array([place[b] for b in t.tolist()]) for t in kind] for kind in kinds], fairness=fairness, ridge=ridge)
     weight[column] = w[:-1]
     return Linear(weight, float(w[-1]))
 
