@@ -97,7 +97,7 @@ def isolated_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 select event_id, user_id, span_number, round(span, 6) as span from s where span >= 60""")
 def min_span_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = select.numbered_spans(timed_events(spark, sf_dir), ["user_id"], F.col("sec"), ["ts", "event_id"], least=60)
-    return spans.select("event_id", "user_id", "span_number", r6("span").alias("span"))
+    return spans.select("event_id", "user_id", F.col("span_number").cast("long").alias("span_number"), r6("span").alias("span"))
 
 
 BANDS = [("F", 0.0, 100000.0), ("F", 100000.0, 250000.0), ("O", 0.0, 150000.0), ("O", 150000.0, 600000.0), ("P", 0.0, 300000.0)]
@@ -208,7 +208,7 @@ def zip_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read(spark, sf_dir, "events")
     left = events.where("event_type = 'click'").select("user_id", "ts", F.col("event_id").alias("click_id"))
     right = events.where("event_type = 'purchase'").select("user_id", F.col("ts").alias("buy_ts"), F.col("event_id").alias("purchase_id"))
-    return joins.zip_by_position(left, right, ["user_id"], ["ts", "click_id"], ["buy_ts", "purchase_id"]).select("user_id", "position", "click_id", "purchase_id")
+    return joins.zip_by_position(left, right, ["user_id"], ["ts", "click_id"], ["buy_ts", "purchase_id"]).select("user_id", F.col("position").cast("long").alias("position"), "click_id", "purchase_id")
 
 
 @query("""with o as (select o_orderkey, max(l_quantity) as q from orders join lineitem on o_orderkey = l_orderkey where l_returnflag = 'A' group by 1), r as (select distinct l_orderkey as o_orderkey from lineitem where l_quantity = 1)
@@ -391,7 +391,7 @@ def monotonic_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with r as (select event_id, round_even(value, 0) as v, row_number() over (partition by user_id, round_even(value, 0) order by ts, event_id) as occurrence from events) select event_id, occurrence from r where occurrence > 1""")
 def first_seen_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read(spark, sf_dir, "events").withColumn("v", F.bround("value", 0))
-    return seq.repeats(events, ["user_id", "v"], ["ts", "event_id"]).select("event_id", "occurrence")
+    return seq.repeats(events, ["user_id", "v"], ["ts", "event_id"]).select("event_id", F.col("occurrence").cast("long").alias("occurrence"))
 
 
 @query("""select o_orderkey, round(coalesce(sum(o_totalprice) over (w rows between unbounded preceding and 1 preceding), 0) / sum(o_totalprice) over (partition by o_custkey), 6) as onset from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey)""")
@@ -431,7 +431,7 @@ def last_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select user_id, event_id, rank from (select *, row_number() over (partition by user_id order by ts, event_id) as rank from events where event_type = 'error') where rank <= 3")
 def first_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select.first_k(read(spark, sf_dir, "events").where("event_type = 'error'"), ["user_id"], ["ts", "event_id"], 3).select("user_id", "event_id", "rank")
+    return select.first_k(read(spark, sf_dir, "events").where("event_type = 'error'"), ["user_id"], ["ts", "event_id"], 3).select("user_id", "event_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query("""with t as (select user_id, count(*) filter (event_type = 'click') as target from events group by 1), r as (select event_id, user_id, value, target, row_number() over (partition by user_id order by value desc, event_id) as rn,
@@ -477,7 +477,7 @@ def linearize(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     position = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "part", "token"))
-    return rows.withColumn("position", position).select("conv_id", "position", "token")
+    return rows.withColumn("position", position.cast("long")).select("conv_id", "position", "token")
 
 
 @query("""select c_custkey, 'customer-' || lpad(c_custkey::varchar, greatest(3, length(c_custkey::varchar))::int, '0') as id, 'customer' as prefix, c_custkey::bigint as number, nullif(regexp_replace(c_name, '[^0-9]', '', 'g'), '')::bigint as digits from customer""")
