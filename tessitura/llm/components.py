@@ -17,6 +17,12 @@ def _toward_least(pairs: DataFrame, beyond: bool) -> DataFrame:
     return met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
 
 
+def settled(edges: DataFrame) -> bool:
+    """Whether distinct edges are stars already: no node has two targets, and no target has one."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")), F.struct(F.col("v").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("into")))).alias("e"))
+    return not ends.groupBy("e.x").agg(F.sum("e.out").alias("out"), F.max("e.into").alias("into")).where("out > 1 or (out > 0 and into > 0)").limit(1).count()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of ``edges`` (u, v), component being the smallest node reachable.
 
@@ -25,14 +31,9 @@ def components(edges: DataFrame) -> DataFrame:
     repeated edges count for nothing; without edges the result is empty.
     """
     now = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-    mark = None
-    while True:
+    while not settled(now):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _toward_least(both, beyond=True).where("u <> v").distinct()
+        large = _toward_least(both, beyond=True).where("u <> v")
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         now = stored(_toward_least(down, beyond=False).where("u <> v").distinct())
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == mark:
-            break
-        mark = seen
-    return now.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())

@@ -16,7 +16,7 @@ from .text import NOT_SPACE, chunks, gathered, mix, trim
 NULL_KEY = -(2**63)
 #: Bytes of text that a map task gathers before it deals out shingles; items that meet in one exact comparison; bits of the row filter; slices
 #: of a bucket that are sorted one after the other.
-GATHER_BYTES, GROUP_ITEMS, FILTER_BITS, SLICES = 8 << 20, 1_500_000, 1 << 27, 8
+GATHER_BYTES, GROUP_ITEMS, FILTER_BITS, SLICES = 4 << 20, 1_000_000, 1 << 27, 8
 
 
 def fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -250,30 +250,43 @@ def candidate_edges(sets: DataFrame, width: int, bands: Bands) -> DataFrame:
         _, _, u, v = _stars(*(np.concatenate(x) for x in zip(*held, strict=True)))
         u, v = union_find(*(np.concatenate(x) for x in zip(*edges, (u, v), strict=True)))
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+        held, edges = [], []
+        trim()
 
     return sets.select("node", "text").mapInArrow(deal, fields).repartition("key").mapInArrow(meet, schema("u long, v long"))
 
 
-def meeting_places(sets: DataFrame, labels: DataFrame, bands: Bands, limit: int) -> DataFrame:
-    """``sets`` with the component and the ``place`` where its exact comparison is held, once for each place.
+def meeting_places(placed: DataFrame, bands: Bands, limit: int) -> DataFrame:
+    """The ``place`` s where sets of components beyond ``limit`` items are compared, a row for each.
 
-    A component of up to ``limit`` items has one place. A larger one is cut by size: a set meets those of its own band and of the bands
-    beside it. What is larger still is cut into blocks, each pair of which has a place: quadratic in the blocks, but never more than
-    ``limit`` items in a place (or two sets), and every two sets that can be similar have one.
+    Components are cut by size: a set meets those of its own band and of the bands beside it. What is larger still is cut into blocks, each
+    pair of which has a place: quadratic in the blocks, but never more than ``limit`` items in a place (or two sets), and every two sets
+    that can be similar have one.
     """
-    placed = sets.join(labels, "node")
-    whole = placed.groupBy("component").agg(F.sum("n").alias("items"))
-    placed = placed.join(whole, "component")
     edges = bands.edges(placed.agg(F.coalesce(F.max("n"), F.lit(1))).first()[0] + 1).tolist()
     band = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col("n"))) - 1
-    placed = placed.withColumn("band", F.explode(F.when(F.col("items") <= limit, F.array(F.lit(-1))).otherwise(F.array(band, band - 1))))
+    placed = placed.withColumn("band", F.explode(F.array(band, band - 1)))
     sums = placed.groupBy("component", "band").agg(F.sum("n").alias("banded"))
     placed = placed.join(sums, ["component", "band"])
     blocks = F.when(F.col("banded") <= limit, F.lit(1)).otherwise(F.ceil(F.col("banded") / (limit // 2))).cast("int")
     placed = placed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     place = F.xxhash64("component", "band", F.least("block", "other"), F.greatest("block", "other"))
-    return placed.select(place.alias("place"), "node", "check", "text")
+    return placed.select(place.alias("place"), "node", "text")
+
+
+def linked_sets(sets: DataFrame, labels: DataFrame, width: int, bands: Bands, limit: int) -> DataFrame:
+    """(node, component) of the sets that are linked with others, exactly. A component of candidates of up to ``limit`` items is one place."""
+    sizes = sets.select("node", "n").join(labels, "node").groupBy("component").agg(F.sum("n").alias("items"))
+    large = stored(sizes.where(F.col("items") > limit))
+    some = large.limit(1).count()
+    placed = sets.join(labels, "node")
+    small = placed.join(large.select("component"), "component", "left_anti") if some else placed
+    done = exact_edges(small.select(F.col("component").alias("place"), "node", "text"), width, bands)
+    if some:
+        # a class may reach over several places of its component
+        done = done.unionByName(exact_edges(meeting_places(placed.join(large.select("component"), "component", "left_semi"), bands, limit), width, bands))
+    return components(done)
 
 
 def exact_edges(places: DataFrame, width: int, bands: Bands) -> DataFrame:
@@ -303,6 +316,8 @@ def exact_edges(places: DataFrame, width: int, bands: Bands) -> DataFrame:
                 u.clear()
                 v.clear()
         close()
+        rows.clear()
+        trim()
         if u:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
 
@@ -349,11 +364,12 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         for batch in batches:
             _, node, check = fingerprints(all_sets(batch.column("text"), width))
             yield batch.filter(pa.array((node == batch.column("node").to_numpy()) & (check == batch.column("check").to_numpy())))
+            trim()
 
     joined = slim.mapInArrow(passing, schema("id long, text string")).join(left, "id").select("node", "check", "n", "text")
     sets = stored(joined.mapInArrow(matching, joined.schema))
     labels = components(candidate_edges(sets, width, bands))
-    linked = components(exact_edges(meeting_places(sets, labels, bands, group_items), width, bands))
+    linked = linked_sets(sets, labels, width, bands, group_items)
     named = nodes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("id").alias("component_id"))
     classes = named.join(least, "component").select("node", "check", "n", "component_id")
