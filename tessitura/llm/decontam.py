@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import bounded_batches, extended, schema, spare
-from .text import ALPHANUMERIC, Chunk, chunks, rolling
+from .text import ALPHANUMERIC, Chunk, chunks, rolling, trim
 
 #: Words of a prefix shingle; bytes of benchmark text in one broadcast index.
 SHINGLE, BLOCK_BYTES = 3, 8 << 20
@@ -110,6 +110,7 @@ def corpus_counts(docs: DataFrame, text: str, tokens: dict[int, np.ndarray]) ->
                 for w, lookup in lookups.items():
                     _, at = lookup.find(shingle_hashes(chunk, w)[1])
                     total[w] += np.bincount(at, minlength=len(lookup.values))
+            trim()
         for w, x in total.items():
             got = np.flatnonzero(x)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), w, dtype=np.int32)), pa.array(got), pa.array(x[got])], names=["w", "token", "n"])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .labelled import held_out, training_labels
 from .shared import bounded_batches, extended, schema
-from .text import NOT_SPACE, Chunk, chunks
+from .text import NOT_SPACE, Chunk, chunks, trim
 
 _NOT_NEWLINE = np.arange(256) != 0x0A
 #: Classes of bytes: lower, upper, digit, beyond ASCII, sentence end, comma-like, other punctuation, space, line feed, rest.
@@ -161,6 +161,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", te
         for batch in batches:
             x = features(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))], names=["id", "x"])
+            trim()
 
     measured = slim.where("id is not null").mapInArrow(measure, schema("id long, x array<double>")).join(known, F.col("id") == F.col("label_key")).select("x", "label")
     model = Discriminant.fit(*moments(measured), pooled=pooled, ridge=ridge, temperature=temperature)

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .text import trim
+
 #: Rows and bytes of one Arrow batch, so that a Python worker's memory is bounded whatever the texts' lengths.
-BATCH_ROWS, BATCH_BYTES = 2048, 32 << 20
+BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,5 +86,7 @@ def extended(df: DataFrame, compute, ddl: str) -> DataFrame:
             if batch.num_rows:
                 columns = [*(batch.column(batch.schema.get_field_index(c)) for c in kept), *compute(batch)]
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, *new.names])
+                del columns
+                trim()
 
     return df.mapInArrow(run, out)

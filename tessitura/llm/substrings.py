@@ -13,7 +13,7 @@ from .shared import bounded_batches, extended, schema, spare
 from .text import NOT_SPACE, Chunk, chunks, gathered, mix, powers, rolling, trim
 
 #: Words of a minimiser; bytes of text that a map task gathers; packed bytes that a bucket should hold.
-MINIMISER, GATHER_BYTES, BUCKET_BYTES = 3, 12 << 20, 4 << 20
+MINIMISER, GATHER_BYTES, BUCKET_BYTES = 3, 8 << 20, 3 << 20
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:

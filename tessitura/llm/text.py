@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text in a chunk. A longer text is a chunk of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD1342543DE82EF95
@@ -197,7 +197,7 @@ def chunks(column: pa.Array, is_word: np.ndarray, lower: bool, limit: int | None
 
 def trim() -> None:
     """Gives freed memory back to the system, so that a worker does not keep its peak."""
-    pa.default_memory_pool().release_unused()
+    pa.default_memory_pool().release_unused()  # what Arrow holds for later
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 
