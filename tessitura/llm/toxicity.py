@@ -14,8 +14,10 @@ from .labelled import held_out, training_labels
 from .shared import bounded_batches, extended, schema
 from .text import ALPHANUMERIC, Chunk, chunks, mix
 
-#: Hash buckets (as bits), labelled documents learnt from, features that may have a weight, bytes of the word beginnings that count as features.
-BUCKET_BITS, TRAIN_ROWS, MOST_WORDS, BEGINNINGS = 20, 20_000, 400, (4, 5, 6, 7)
+#: Hash buckets (as bits), labelled documents learnt from, bytes of the word beginnings that count as features.
+BUCKET_BITS, TRAIN_ROWS, BEGINNINGS = 20, 20_000, (4, 5, 6, 7)
+#: Features of training texts that are summed at a time.
+SLICE = 1 << 20
 
 # Terms for groups of people, by kind; a counterfactual swaps a term for the others of its kind.
 IDENTITY_TERMS = (
@@ -72,111 +74,168 @@ class Linear:
         return np.concatenate(scores) if scores else np.zeros(0)
 
 
-def counterfactuals(present: np.ndarray, kinds: list[list[np.ndarray]]) -> np.ndarray:
-    """The sum of outer products of the changes that swapping identity terms makes to feature vectors.
+def counterfactuals(has: list[list[float]], kinds: list[list[np.ndarray]], size: int) -> np.ndarray:
+    """The sum of outer products of the changes that swapping identity terms makes to the ``size`` features of such terms.
 
-    ``kinds``: by kind, the columns of each term. A text with a term is swapped to each other term of its kind, which takes away the term's
-    word and beginnings and brings the other's.
+    ``kinds``: by kind, the places of each term's features; ``has``: how many texts have the term. A text with a term is swapped to each other
+    term of its kind, which takes away the term's word and beginnings and brings the other's.
     """
-    d = present.shape[1]
-    penalty = np.zeros((d, d))
-    for terms in kinds:
-        for a in terms:
-            has = float(present[:, a[0]].sum())
+    penalty = np.zeros((size, size))
+    for terms, counts in zip(kinds, has, strict=True):
+        for a, count in zip(terms, counts, strict=True):
             for b in terms:
-                step = np.zeros(d)
+                step = np.zeros(size)
                 step[a] -= 1
                 step[b] += 1
                 step = np.clip(step, -1, 1)
-                if has and step.any():
-                    penalty += has / (len(terms) - 1) * np.outer(step, step)
+                if count and step.any():
+                    penalty += count / (len(terms) - 1) * np.outer(step, step)
     return penalty
 
 
-def clearest(joined: DataFrame, positive: int, total: int, least_z: float) -> np.ndarray:
-    """The ``MOST_WORDS`` features whose shares among the two labels differ by most standard errors, and by ``least_z`` at least."""
+def clearness(one: np.ndarray, zero: np.ndarray, positive: int, negative: int) -> np.ndarray:
+    """By how many standard errors the shares of each feature among the two labels differ."""
+    total = positive + negative
+    share = (one + zero) / total
+    return np.abs(one / positive - zero / negative) / np.sqrt(np.maximum(share * (1 - share), 0.25 / total) * (1 / positive + 1 / negative))
 
-    def count(batches):
-        sums = np.zeros((2, 1 << BUCKET_BITS), dtype=np.int64)
-        for batch in batches:
-            text, bucket = distinct_features(batch.column("text"))
-            label = batch.column("label").to_numpy()[text]
-            for c in (0, 1):
-                sums[c] += np.bincount(bucket[label == c], minlength=1 << BUCKET_BITS)
-        got = np.flatnonzero(sums.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(got), pa.array(sums[0, got]), pa.array(sums[1, got])], names=["bucket", "zero", "one"])
-
-    sums = joined.select("label", "text").mapInArrow(count, schema("bucket long, zero long, one long")).groupBy("bucket").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one"))
-    negative = total - positive
-    share = (F.col("zero") + F.col("one")) / F.lit(float(total))
-    z = F.abs(F.col("one") / F.lit(float(positive)) - F.col("zero") / F.lit(float(negative))) / F.sqrt(F.greatest(share * (1 - share), F.lit(0.25 / total)) * F.lit(1 / positive + 1 / negative))
-    return sums.withColumn("z", z).where(F.col("z") >= least_z).orderBy(F.col("z").desc(), "bucket").limit(MOST_WORDS).select("bucket").toArrow()["bucket"].to_numpy()
-
-
-def fit(x: np.ndarray, label: np.ndarray, kinds: list[list[np.ndarray]], *, fairness: float, ridge: float) -> np.ndarray:
-    """Logistic regression by Newton steps, the last column being constant, with a ridge and a penalty on changes between counterfactuals.
 
-    ``kinds``: the columns of identity terms. They always take part, so that the penalty can hold them together.
-    """
-    hold = fairness * counterfactuals(x, kinds) + ridge * np.diag([1.0] * (x.shape[1] - 1) + [1e-6])
-    w = np.zeros(x.shape[1])
-    for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
-        gradient = x.T @ (p - label) + hold @ w
-        step = np.linalg.solve((x * np.maximum(p * (1 - p), 1e-9)[:, None]).T @ x + hold, gradient)
-        w -= step * min(1.0, 4.0 / max(np.abs(step).max(), 1e-12))
-        if np.abs(step).max() < 1e-8:
+@dataclass
+class Presence:
+    """Which features each text has: the features of text i are ``column[start[i] : start[i + 1]]``. Worked through in slices of bounded size."""
+
+    start: np.ndarray
+    column: np.ndarray
+    width: int
+
+    def slices(self):
+        """(first text, end, their features, counts) of some ``SLICE`` features each."""
+        at = 0
+        while at < len(self.start) - 1:
+            end = max(at + 1, int(np.searchsorted(self.start, self.start[at] + SLICE, side="right")) - 1)
+            yield at, end, self.column[self.start[at] : self.start[end]], np.diff(self.start[at : end + 1])
+            at = end
+
+    def sums(self, weight: np.ndarray) -> np.ndarray:
+        """For each text the sum of the weights of its features."""
+        return np.concatenate([np.bincount(np.repeat(np.arange(end - at), n), weights=weight[c], minlength=end - at) for at, end, c, n in self.slices()])
+
+    def spread(self, value: np.ndarray) -> np.ndarray:
+        """For each feature the sum of the values of the texts that have it."""
+        out = np.zeros(self.width)
+        for at, end, c, n in self.slices():
+            out += np.bincount(c, weights=np.repeat(value[at:end], n), minlength=self.width)
+        return out
+
+
+def least(value, w: np.ndarray, *, steps: int = 500, memory: int = 6, close: float = 1e-6) -> np.ndarray:
+    """Where the convex ``value`` (which gives value and gradient) is least: L-BFGS from ``w``."""
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    now, slope = value(w)
+    for _ in range(steps):
+        if np.abs(slope).max() < close * max(1.0, abs(now)):
             break
+        way, shares = slope.copy(), []
+        for s, y, sy in reversed(past):
+            shares.append((s @ way) / sy)
+            way -= shares[-1] * y
+        way *= past[-1][2] / (past[-1][1] @ past[-1][1]) if past else 1 / max(1.0, np.linalg.norm(slope))
+        for (s, y, sy), share in zip(past, reversed(shares), strict=True):
+            way += s * (share - (y @ way) / sy)
+        length, fall = 1.0, slope @ way
+        while True:
+            there = w - length * way
+            then, steep = value(there)
+            if then <= now - 1e-4 * length * fall or length < 1e-10:
+                break
+            length /= 2
+        if then >= now:
+            break
+        s, y = there - w, steep - slope
+        if s @ y > 0:
+            past = [*past, (s, y, float(s @ y))][-memory:]
+        w, now, slope = there, then, steep
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, *, key: str, text: str, label: str, modulus: int, kept_out: int, rows: int, identity, fairness: float, ridge: float, least_z: float) -> Linear:
-    """Learns from at most ``rows`` labelled keys, those of the smallest hashes; of each, which chosen features it has comes to the driver."""
+def fit(x: Presence, label: np.ndarray, kinds: list[list[np.ndarray]], *, fairness: float, ridge: float, clear_z: float) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic regression on all features, with a ridge and a penalty on changes between counterfactuals.
+
+    A feature counts by the square of its clearness: from ``clear_z`` standard errors on (or as clear as the clearest, if none reaches them)
+    in full, below by (z / clear_z)**2. None is left out. ``kinds``: the columns of identity terms; these count in full, so that the penalty
+    can hold them together. Solved in variables in which ridge and penalty together are ``ridge`` times the identity.
+    """
+    positive = int(label.sum())
+    one, every = x.spread(label), x.spread(np.ones(len(label)))
+    z = clearness(one, every - one, positive, len(label) - positive)
+    scale = np.minimum(1.0, z / max(min(clear_z, z.max(initial=0.0)), 1e-12)) ** 2
+    terms = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *(t for kind in kinds for t in kind)]))
+    scale[terms] = 1.0
+    places = [[np.searchsorted(terms, t) for t in kind] for kind in kinds]
+    penalty = counterfactuals([[float(every[t[0]]) for t in kind] for kind in kinds], places, len(terms))
+    turn = np.linalg.inv(np.linalg.cholesky(fairness / ridge * penalty + np.eye(len(terms))))
+
+    def weights(u: np.ndarray) -> np.ndarray:
+        w = scale * u[:-1]
+        w[terms] = turn.T @ u[terms]
+        return w
+
+    def value(u: np.ndarray) -> tuple[float, np.ndarray]:
+        odds = x.sums(weights(u)) + u[-1]
+        miss = 1 / (1 + np.exp(-np.clip(odds, -500, 500))) - label
+        raw = x.spread(miss)
+        slope = scale * raw + ridge * u[:-1]
+        slope[terms] = turn @ raw[terms] + ridge * u[terms]
+        return float(np.logaddexp(0, odds).sum() - label @ odds + ridge / 2 * (u[:-1] @ u[:-1])), np.append(slope, miss.sum())
+
+    u = least(value, np.append(np.zeros(x.width), np.log(positive / (len(label) - positive))))
+    return weights(u), float(u[-1])
+
+
+def train(docs: DataFrame, labels: DataFrame, *, key: str, text: str, label: str, modulus: int, kept_out: int, rows: int, identity, fairness: float, ridge: float, clear_z: float) -> Linear:
+    """Learns from at most ``rows`` labelled keys, those of the smallest hashes; of each, which features it has comes to the driver."""
     known = training_labels(labels, key=key, label=label, modulus=modulus, kept_out=kept_out)
     sample = F.broadcast(known.orderBy(F.xxhash64("label_key"), "label_key").limit(rows))
     slim = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     joined = slim.join(sample, F.col("id") == F.col("label_key")).select("id", "label", "text")
-    counted = {r["label"]: r["n"] for r in joined.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    positive, total = counted.get(1, 0), sum(counted.values())
-    weight = np.zeros(1 << BUCKET_BITS)
-    if not 0 < positive < total:
-        return Linear(weight, float(np.log((positive + 0.5) / (total - positive + 0.5))))
-    kinds = [term_features(kind) for kind in identity]
-    column = np.unique(np.concatenate([clearest(joined, positive, total, least_z), *(t for kind in kinds for t in kind)]))
 
     def present(batches):
-        place = np.full(1 << BUCKET_BITS, -1)
-        place[column] = np.arange(len(column))
         for batch in batches:
             text, bucket = distinct_features(batch.column("text"))
-            mine = place[bucket] >= 0
-            at = np.searchsorted(text[mine], np.arange(batch.num_rows + 1)).astype(np.int32)
-            has = pa.ListArray.from_arrays(pa.array(at), pa.array(place[bucket[mine]].astype(np.int32)))
+            at = np.searchsorted(text, np.arange(batch.num_rows + 1)).astype(np.int32)
+            has = pa.ListArray.from_arrays(pa.array(at), pa.array(bucket.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), has], names=["id", "label", "has"])
 
     # a key that repeats is learnt from once
     got = joined.mapInArrow(present, schema("id long, label int, has array<int>")).groupBy("id").agg(F.min(F.struct("label", "has")).alias("r")).select("id", "r.*").toArrow().sort_by("id")
+    truth = got["label"].to_numpy().astype(float)
+    positive, total = int(truth.sum()), len(truth)
+    weight = np.zeros(1 << BUCKET_BITS)
+    if not 0 < positive < total:
+        return Linear(weight, float(np.log((positive + 0.5) / (total - positive + 0.5))))
+    kinds = [term_features(kind) for kind in identity]
     has = got["has"].combine_chunks()
-    x = np.zeros((len(has), len(column) + 1))
-    x[:, -1] = 1
-    x[np.repeat(np.arange(len(has)), np.diff(has.offsets.to_numpy())), has.flatten().to_numpy()] = 1
-    place = {b: i for i, b in enumerate(column.tolist())}
-    w = fit(x, got["label"].to_numpy().astype(float), [[np.array([place[b] for b in t.tolist()]) for t in kind] for kind in kinds], fairness=fairness, ridge=ridge)
-    weight[column] = w[:-1]
-    return Linear(weight, float(w[-1]))
+    start, bucket = has.offsets.to_numpy().astype(np.int64), has.values.to_numpy()
+    seen = np.zeros(1 << BUCKET_BITS, dtype=bool)
+    seen[bucket] = True
+    seen[[b for kind in kinds for t in kind for b in t]] = True
+    place = (np.cumsum(seen) - 1).astype(np.int32)
+    x = Presence(start, place[bucket], int(seen.sum()))
+    weight[seen], bias = fit(x, truth, [[place[t].astype(np.int64) for t in kind] for kind in kinds], fairness=fairness, ridge=ridge, clear_z=clear_z)
+    return Linear(weight, bias)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", modulus: int = 4, kept_out: int = 2, threshold: float = 0.3, rows: int = TRAIN_ROWS, identity: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, fairness: float = 50.0, ridge: float = 0.5, least_z: float = 6.5) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", modulus: int = 4, kept_out: int = 2, threshold: float = 0.3, rows: int = TRAIN_ROWS, identity: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, fairness: float = 50.0, ridge: float = 0.5, clear_z: float = 6.5) -> DataFrame:
     """Adds score (0 to 1; higher: label 1 likelier), predicted (1 from ``threshold``) and held_out to every document.
 
     The distinct words and word beginnings of whole texts alone make a score. Learnt from labelled documents whose crc32(key as text) leaves another remainder
     than ``kept_out`` modulo ``modulus``, at most ``rows`` of them. ``fairness`` weighs how much a score may change when identity terms are
-    swapped. Null and empty texts score as texts without telling words. Without usable labels all scores are even. Labels that are null or
+    swapped; features whose shares differ by fewer than ``clear_z`` standard errors among the labels count for less. Null and empty texts score as texts without telling words. Without usable labels all scores are even. Labels that are null or
     not 0 or 1, or have a null key, do not count; of unlike labels of one key the largest does. Repeated documents score alike. Extra
     columns stay, those of the new names are replaced. An empty table gives an empty result.
     """
     bounded_batches(docs.sparkSession)
-    model = train(docs, labels, key=key, text=text, label=label, modulus=modulus, kept_out=kept_out, rows=rows, identity=identity, fairness=fairness, ridge=ridge, least_z=least_z)
+    model = train(docs, labels, key=key, text=text, label=label, modulus=modulus, kept_out=kept_out, rows=rows, identity=identity, fairness=fairness, ridge=ridge, clear_z=clear_z)
 
     def judge(batch: pa.RecordBatch) -> list[pa.Array]:
         score = model.score(batch.column(text))

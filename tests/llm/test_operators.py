@@ -314,3 +314,16 @@ def test_held_out_labels_are_not_learnt(spark):
     spoilt = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     a, b = (sorted((r.doc_id, round(r.score, 9)) for r in toxicity.score_toxicity(docs, x).collect()) for x in (labels, spoilt))
     assert a == b
+
+
+def test_toxicity_of_small_sets_and_rare_words(spark):
+    def judged(count, every, telling):
+        rng = random.Random(4)
+        rows = [(i, " ".join([rng.choice(WORDS) for _ in range(12)] + ([telling(i)] if i % every == 0 else []))) for i in range(count)]
+        labels = spark.createDataFrame([(i, 1, int(i % every == 0)) for i in range(count)], "doc_id long, quality int, toxic int")
+        asked = [(10_000, "w1 w2 w3 idiotic"), (10_001, "w1 w2 w3 grobian"), (10_002, "w1 w2 w3")]
+        scored = toxicity.score_toxicity(spark.createDataFrame(rows + asked, "doc_id long, text string"), labels)
+        return [r.predicted for r in scored.where("doc_id >= 10000").orderBy("doc_id").collect()]
+
+    assert judged(44, 11, lambda i: "idiotic")[::2] == [1, 0]
+    assert judged(500, 10, lambda i: "grobian" if i % 80 == 0 else "idiotic") == [1, 1, 0]
