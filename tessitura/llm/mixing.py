@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from .shared import spare
 
 #: Bits of a hash that make the uniform number of a document.
 UNIT_BITS = 48
+#: Rates up to this are summed from 0, where exp(-rate) is still a full number; larger ones from the mode. Copies made at a time.
+NEAR_RATE, COPY_RUN = 700, 4096
 
 
 def unit(*columns: Column | str, seed: int) -> Column:
@@ -22,9 +25,10 @@ def unit(*columns: Column | str, seed: int) -> Column:
 
 def poisson_steps(rate: float) -> list[float]:
     """The Poisson distribution function at 0, 1, 2, ... until it can't be told from 1 at ``UNIT_BITS`` bits."""
+    if rate > NEAR_RATE:
+        first, steps = poisson_window(rate)
+        return [0.0] * first + steps
     steps, term, total, k = [], math.exp(-rate), 0.0, 0
-    if rate > 700:
-        raise ValueError(f"a repetition rate of {rate:.0f} is out of reach")
     while True:
         total += term
         steps.append(min(1.0, total))
@@ -34,6 +38,26 @@ def poisson_steps(rate: float) -> list[float]:
         term *= rate / k
 
 
+def poisson_window(rate: float) -> tuple[int, list[float]]:
+    """(first, the distribution function at first, first + 1, ...): what can be told from 0 and 1 at ``UNIT_BITS`` bits, for large rates.
+
+    Terms are taken relative to that of the mode, so that none is lost; there are some 18 * sqrt(rate) of them.
+    """
+    mode, least = int(rate), 2.0 ** -(UNIT_BITS + 10)
+    below, above, term, k = [], [], 1.0, mode
+    while k > 0 and term >= least:
+        term *= k / rate
+        k -= 1
+        below.append(term)
+    first, term, k = k, 1.0, mode
+    while term >= least:
+        k += 1
+        term *= rate / k
+        above.append(term)
+    sums = list(accumulate([*reversed(below), 1.0, *above]))
+    return first, [x / sums[-1] for x in sums]
+
+
 def rates(docs: DataFrame, weights: Mapping[str, float], *, rest: float, source: str, text: str, epochs: float) -> dict[str | None, float]:
     """Mean repetitions by source, under None those of all other sources together.
 
@@ -52,7 +76,11 @@ def copies(source: Column, by_source: Mapping[str | None, float], at: Column) ->
     """The count of a document: its Poisson distribution inverted at ``at``. Sources without a rate get 0."""
 
     def count(rate: float) -> Column:
-        return F.size(F.filter(F.array(*map(F.lit, poisson_steps(rate))), lambda step: step <= at))
+        if rate <= NEAR_RATE:
+            return F.size(F.filter(F.array(*map(F.lit, poisson_steps(rate))), lambda step: step <= at))
+        first, steps = poisson_window(rate)
+        # one literal, since a column for each step would swell the plan
+        return F.lit(first) + F.size(F.filter(F.split(F.lit(",".join(map(repr, steps))), ",").cast("array<double>"), lambda step: step <= at))
 
     out = count(by_source[None]) if None in by_source else F.lit(0)
     for name, rate in sorted((k, v) for k, v in by_source.items() if k is not None):
@@ -71,6 +99,12 @@ def mix(docs: DataFrame, weights: Mapping[str, float], *, rest: float = 0.0, key
     by_source = rates(docs, weights, rest=rest, source=source, text=text, epochs=epochs)
     n = spare(docs, "n_copies")
     out = docs.withColumn(n, copies(F.col(f"`{source}`"), by_source, unit(f"`{key}`", seed=seed))).where(F.col(n) > 0)
-    out = out.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(n) - 1))).drop(n)
+    if max(by_source.values(), default=0.0) > NEAR_RATE:
+        # in runs, so that no row holds an array of all its copies
+        run = spare(out, "run")
+        out = out.withColumn(run, F.explode(F.sequence(F.lit(0), F.floor((F.col(n) - 1) / COPY_RUN).cast("int"))))
+        out = out.withColumn(copy, F.explode(F.sequence(F.col(run) * COPY_RUN, F.least(F.col(n) - 1, F.col(run) * COPY_RUN + (COPY_RUN - 1))))).drop(n, run)
+    else:
+        out = out.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(n) - 1))).drop(n)
     out = out.withColumn(place, unit(f"`{key}`", F.col(copy), seed=seed + 1))
     return out.repartition(F.col(place)).sortWithinPartitions(place, copy) if shuffle else out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import decimal
 import random
 import zlib
 
@@ -117,6 +118,25 @@ def test_mix(spark, odd):
     assert mixing.mix(empty(spark, "doc_id long, text string, source string"), {"a": 1.0}).count() == 0
 
 
+def test_mix_of_a_tiny_source(spark):
+    rows = [(i, "12345678" if i > 2 else "x", "big" if i > 2 else "tiny") for i in range(6000)]
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), {"tiny": 0.5}, rest=0.5, seed=3)
+    tiny = mixed.where("source = 'tiny'").cache()
+    rate = 0.5 * (5997 * 8 + 3) / 3
+    assert rate > 7000 and dict(mixed.dtypes)["copy"] == "int"
+    # the Poisson distribution inverted at each document's own number, in 80 digits
+    numbers = spark.range(3).select("id", mixing.unit("id", seed=3).alias("u")).collect()
+    with decimal.localcontext(prec=80):
+        for r in numbers:
+            term = total = (-decimal.Decimal(rate)).exp()
+            want = 0
+            while total <= decimal.Decimal(r.u):
+                want += 1
+                term *= decimal.Decimal(rate) / want
+                total += term
+            assert sorted(x[0] for x in tiny.where(F.col("doc_id") == r.id).select("copy").collect()) == list(range(want))
+
+
 # url filters
 
 
