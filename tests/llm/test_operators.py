@@ -347,3 +347,14 @@ def test_toxicity_of_small_sets_and_rare_words(spark):
 
     assert judged(44, 11, lambda i: "idiotic")[::2] == [1, 0]
     assert judged(500, 10, lambda i: "grobian" if i % 80 == 0 else "idiotic") == [1, 1, 0]
+
+
+def test_toxicity_weighs_more_than_400_telling_words(spark):
+    rng = random.Random(5)
+    telling = [f"{a}{b}{c}" for a in "xyz" for b in "abcdefghij" for c in "klmnopqrstuvwxyzabcd"]  # three bytes: no beginnings
+    rows = [(i, " ".join([rng.choice(WORDS) for _ in range(12)] + (rng.sample(telling, 300) if i % 3 == 0 else []))) for i in range(300)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    asked = [(10_000 + i, w) for i, w in enumerate(["", *telling])]
+    scored = toxicity.score_toxicity(spark.createDataFrame(rows + asked, "doc_id long, text string"), labels)
+    scores = [r.score for r in scored.where("doc_id >= 10000").orderBy("doc_id").collect()]
+    assert len(scores) == 601 and min(scores[1:]) > scores[0]
