@@ -14,8 +14,8 @@ from .shared import bounded_batches, schema, stored
 
 #: Vectors in a shard, queries in a block, vectors in a leaf, rows whose scores give a first bound.
 SHARD_ROWS, BLOCK_QUERIES, LEAF, SEED_ROWS = 16_384, 4_096, 128, 1_024
-#: Components beyond this would not fit the exact sums.
-LARGEST = 2.0**40
+#: Doubles from here on are whole numbers; the largest double.
+WHOLE, LARGEST = 2.0**52, 1.7976931348623157e308
 
 
 @dataclass
@@ -35,10 +35,12 @@ class BallTree:
         while waiting:
             rows, parent, _ = waiting.pop()
             points = vectors[rows]
-            centre = points.mean(axis=0)
+            with np.errstate(over="ignore", invalid="ignore"):
+                centre = points.mean(axis=0)
+                radius = np.sqrt(((points - centre) ** 2).sum(axis=1).max())
             me = len(self.nodes)
             centres.append(centre)
-            radii.append(np.sqrt(((points - centre) ** 2).sum(axis=1).max()))
+            radii.append(radius)
             self.nodes.append(Node(rows, int(ids[rows].min()), None))
             if parent >= 0:
                 links.setdefault(parent, []).append(me)
@@ -51,21 +53,31 @@ class BallTree:
         self.centres, self.radii = np.array(centres), np.array(radii)
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
-        """An upper bound of the inner product of each query with anything in each node, with room for rounding."""
-        norms = np.sqrt((queries**2).sum(axis=1))
-        top = queries @ self.centres.T + norms[:, None] * self.radii[None, :]
-        return top + 1e-9 * (np.abs(top) + norms[:, None] * (1 + np.abs(self.centres).max(initial=0.0) + self.radii[None, :]))
+        """An upper bound of the score of each query with anything in each node, with room for rounding. Where it overflows it rules nothing out."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            norms = np.sqrt((queries**2).sum(axis=1))
+            top = queries @ self.centres.T + norms[:, None] * self.radii[None, :]
+            top = top + 1e-9 * (np.abs(top) + norms[:, None] * (1 + np.abs(self.centres).max(initial=0.0) + self.radii[None, :]))
+        return np.maximum(np.where(np.isnan(top), np.inf, top), -(2.0**63))
 
 
 def exact_scores(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Integer inner products; float64 where all sums stay below 2**53."""
-    reach = np.abs(queries).max(initial=0.0) * np.abs(vectors).max(initial=0.0) * queries.shape[1]
-    if reach < 2.0**53:
+    """Integer inner products; float64 where all sums stay below 2**53. Those beyond a long are held at its ends, short of the least."""
+    most, largest = np.abs(queries).max(initial=0.0), np.abs(vectors).max(axis=1, initial=0.0)
+    with np.errstate(over="ignore"):
+        far = largest * most * queries.shape[1] >= 2.0**53
+    if not far.any():
         return (queries @ vectors.T).astype(np.int64)
+    out = np.empty((len(queries), len(vectors)), dtype=np.int64)
+    out[:, ~far] = (queries @ vectors[~far].T).astype(np.int64)
+    with np.errstate(over="ignore"):
+        reach = most * largest.max() * queries.shape[1]
     if reach < 2.0**63:
-        return queries.astype(np.int64) @ vectors.astype(np.int64).T
-    whole = queries.astype(object) @ vectors.astype(object).T
-    return np.clip(whole, -(2**63), 2**63 - 1).astype(np.int64)
+        out[:, far] = queries.astype(np.int64) @ vectors[far].astype(np.int64).T
+    else:
+        whole = np.frompyfunc(int, 1, 1)
+        out[:, far] = np.clip(whole(queries) @ whole(vectors[far]).T, -(2**63) + 1, 2**63 - 1).astype(np.int64)
+    return out
 
 
 def search(tree: BallTree, queries: np.ndarray, own: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,11 +128,16 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 def quantised(vectors: DataFrame, *, key: str, vector: str, scale: int) -> DataFrame:
     """(id, v, dim) of the vectors that take part: floor(scale * x) of finite components, identical rows as one with their number.
 
-    Null vectors, empty ones, those with a null, infinite or NaN component and those with a component of 2**40 or more after scaling take
-    no part.
+    Null vectors, empty ones and those with a null, infinite or NaN component take no part. None is left out by its size; components that
+    scaling would make infinite become the largest double.
     """
-    v = F.transform(F.col(f"`{vector}`"), lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("double"))
-    sound = F.forall(F.col(f"`{vector}`"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) * scale < LARGEST))
+
+    def whole(x: Column) -> Column:
+        scaled = F.lit(scale) * x.cast("double")
+        return F.when(F.abs(scaled) < WHOLE, F.floor(scaled).cast("double")).otherwise(F.greatest(F.least(scaled, F.lit(LARGEST)), F.lit(-LARGEST)))
+
+    v = F.transform(F.col(f"`{vector}`"), whole)
+    sound = F.forall(F.col(f"`{vector}`"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     fit = vectors.where(F.col(f"`{vector}`").isNotNull() & (F.size(f"`{vector}`") > 0) & F.coalesce(sound, F.lit(False)) & F.col(f"`{key}`").isNotNull())
     return fit.select(F.col(f"`{key}`").cast("long").alias("id"), v.alias("v")).groupBy("id", "v").agg(F.count("*").alias("times")).withColumn("dim", F.size("v"))
 
@@ -133,7 +150,7 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 5, key: str = "vec_i
     of the shard. The kth score against ``SEED_ROWS`` fixed rows goes with each query to all shards, as the first bound to beat. Repeated
     rows: each counts as a candidate (``k`` of them are enough), and repeated query rows give one set of answers; rows of one id and unlike
     vectors are queries of their own. An empty table, or one without queries, gives no
-    rows. See ``quantised`` for the vectors that take no part.
+    rows. Scores that do not fit a long are held at its ends. See ``quantised`` for the vectors that take no part.
     """
     bounded_batches(vectors.sparkSession)
     base = stored(quantised(vectors, key=key, vector=vector, scale=scale))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import decimal
+import math
 import random
 import zlib
 
@@ -281,6 +282,28 @@ def test_top_k_edges(spark):
     assert topk.top_k(df.limit(0), F.col("id") % 50 == 0).count() == 0
 
 
+def test_top_k_of_large_vectors(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(120)]
+    rows += [(150, [2.0**33, 1.0, 3.0, 0.5]), (151, [2.0**33, 1.0, 3.0, 0.25]), (152, [-(2.0**33), 7.0, 0.0, 1.0]), (153, [2.0**40, 0.0, 0.0, 0.0])]
+    whole = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+
+    def held(a, b):
+        return max(-(2**63) + 1, min(2**63 - 1, sum(x * y for x, y in zip(whole[a], whole[b], strict=True))))
+
+    want = {}
+    for q in (0, 50, 100, 150):
+        best = sorted((-held(q, i), i) for i in whole if i != q)[:5]
+        want |= {(q, rank): (i, -score) for rank, (score, i) in enumerate(best, 1)}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for more in ({}, {"shard_rows": 20, "block": 3}):
+        got = topk.top_k(df, F.col("id") % 50 == 0, **more).collect()
+        assert {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in got} == want
+    huge = spark.createDataFrame([(0, [1e308, 1.0]), (1, [-1e308, 1.0]), (2, [1e308, 0.0])], "vec_id long, embedding array<double>")
+    got = {(r["rank"], r.vec_id, r.score) for r in topk.top_k(huge, F.col("id") == 0).collect()}
+    assert got == {(1, 2, 2**63 - 1), (2, 1, -(2**63) + 1)}
+
+
 # classifiers
 
 
