@@ -1,4 +1,4 @@
-"""From symbols on pages to measures: boundaries, assignment, evidence with context, pitches, and gap filling."""
+"""From symbols on pages to measures: boundaries, assignment, evidence (without context durations), pitches, and gap filling."""
 
 from __future__ import annotations
 
