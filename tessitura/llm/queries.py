@@ -124,9 +124,9 @@ l as (select x, y from p join n a on x = a.doc_id join n b on y = b.doc_id where
 reach(x, y) as (select x, y from l union select r.x, l.y from reach r join l on r.y = l.x)
 select doc_id, coalesce(n.n, 0) as n_shingles, least(doc_id, coalesce((select min(y) from reach where x = doc_id), doc_id)) as component_id from d left join n using (doc_id)"""
 
-_TOP_K_SQL = """with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as q from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding) and len(embedding) > 0),
-s as (select a.vec_id as query_id, b.vec_id, list_dot_product(a.q, b.q)::bigint as score from v a join v b on a.vec_id <> b.vec_id and a.vec_id % 50 = 0)
-select query_id, rank::int as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5"""
+_TOP_K_SQL = """with v as (select row_number() over () as row, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as q from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding) and len(embedding) > 0),
+s as (select a.row, a.vec_id as query_id, b.vec_id, list_dot_product(a.q, b.q)::bigint as score from v a join v b on a.row <> b.row and a.vec_id % 50 = 0)
+select query_id, rank::int as rank, vec_id, score from (select *, row_number() over (partition by row order by score desc, vec_id) as rank from s) where rank <= 5"""
 
 
 def oracle_sql() -> dict[str, str]:

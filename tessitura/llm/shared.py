@@ -41,17 +41,40 @@ def shared_folder(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
 
 
+#: Folders written by ``stored`` in this process, in order, and not deleted since.
+_WRITTEN: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: lineage ends there and a lost executor costs nothing computed before."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def typed(df: DataFrame, **columns: str) -> DataFrame:
-    """The named columns alone, under fixed names and types: whatever else ``df`` holds cannot clash."""
-    return df.select(*(F.col(f"`{name}`").cast(kind).alias(alias) for alias, (name, kind) in ((k, v.rsplit(":", 1)) for k, v in columns.items())))
+def discard(spark: SparkSession, since: int, keep: int = 0) -> None:
+    """Deletes what ``stored`` wrote from its ``since``-th folder on, but for the last ``keep``. Nothing may read these tables any more."""
+    gone = _WRITTEN[since : len(_WRITTEN) - keep]
+    for path in gone:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _WRITTEN[since : len(_WRITTEN) - keep] = []
+
+
+def written() -> int:
+    """How many folders there are, to be named to ``discard`` later."""
+    return len(_WRITTEN)
+
+
+def repeated(df: DataFrame, times: str, number: str | None = None, run: int = 4096) -> DataFrame:
+    """Each row as often as its ``times`` says, numbered from 0 in ``number``; in runs, so that no row holds an array of all its copies."""
+    block, place = spare(df, "run"), number or spare(df, "number")
+    out = df.where(F.col(times) > 0).withColumn(block, F.explode(F.sequence(F.lit(0), F.floor((F.col(times) - 1) / run).cast("int"))))
+    end = F.least(F.col(times).cast("int") - 1, F.col(block) * run + (run - 1))
+    out = out.withColumn(place, F.explode(F.sequence(F.col(block) * run, end))).drop(times, block)
+    return out if number else out.drop(place)
 
 
 def fold(key: str, modulus: int):

@@ -269,7 +269,7 @@ def test_top_k(spark):
     rows = vectors(3)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     want = brute.top_k([(r.vec_id, r.embedding) for r in df.collect()])
-    for more in ({}, {"shard_rows": 20, "block": 3}):
+    for more in ({}, {"shard_bytes": 1000, "block_bytes": 300}):
         got = topk.top_k(df, F.col("id") % 50 == 0, **more).collect()
         assert {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in got} == want
 
@@ -282,26 +282,49 @@ def test_top_k_edges(spark):
     assert topk.top_k(df.limit(0), F.col("id") % 50 == 0).count() == 0
 
 
+def test_top_k_of_repeated_rows_and_ids(spark):
+    """Rows of one id are candidates of each other, copies of a query's row too, and each query row is answered."""
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 2.0]), (50, [3.0, 1.0]), (50, [3.0, 1.0]), (50, [3.0, 1.0]), (7, [1.0, 1.0]), (8, [-1.0, 1.0])]
+    whole = [(i, [int(256 * x) for x in v]) for i, v in rows]
+    want = []
+    for at, (q, x) in enumerate(whole):
+        if q % 50 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i) for other, (i, y) in enumerate(whole) if other != at)[:3]
+            want += [(q, r, i, -s) for r, (s, i) in enumerate(scores, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for more in ({}, {"shard_bytes": 30, "block_bytes": 60}):
+        got = topk.top_k(df, F.col("id") % 50 == 0, k=3, **more).collect()
+        assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
+
+
+def test_top_k_of_long_vectors(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=3000).tolist()) for i in range(60)]
+    want = brute.top_k(rows)
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 50 == 0).collect()
+    assert {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in got} == want
+
+
 def test_top_k_of_large_vectors(spark):
     rng = np.random.default_rng(6)
     rows = [(i, rng.normal(size=4).tolist()) for i in range(120)]
     rows += [(150, [2.0**33, 1.0, 3.0, 0.5]), (151, [2.0**33, 1.0, 3.0, 0.25]), (152, [-(2.0**33), 7.0, 0.0, 1.0]), (153, [2.0**40, 0.0, 0.0, 0.0])]
     whole = {i: [math.floor(256 * x) for x in v] for i, v in rows}
 
-    def held(a, b):
-        return max(-(2**63) + 1, min(2**63 - 1, sum(x * y for x, y in zip(whole[a], whole[b], strict=True))))
+    def score(a, b):
+        return sum(x * y for x, y in zip(whole[a], whole[b], strict=True))
 
-    want = {}
+    want = {}  # ranked by the whole score, shown within a long
     for q in (0, 50, 100, 150):
-        best = sorted((-held(q, i), i) for i in whole if i != q)[:5]
-        want |= {(q, rank): (i, -score) for rank, (score, i) in enumerate(best, 1)}
+        best = sorted((-score(q, i), i) for i in whole if i != q)[:5]
+        want |= {(q, rank): (i, max(-(2**63) + 1, min(2**63 - 1, -s))) for rank, (s, i) in enumerate(best, 1)}
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    for more in ({}, {"shard_rows": 20, "block": 3}):
+    for more in ({}, {"shard_bytes": 600, "block_bytes": 300}):
         got = topk.top_k(df, F.col("id") % 50 == 0, **more).collect()
         assert {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in got} == want
-    huge = spark.createDataFrame([(0, [1e308, 1.0]), (1, [-1e308, 1.0]), (2, [1e308, 0.0])], "vec_id long, embedding array<double>")
-    got = {(r["rank"], r.vec_id, r.score) for r in topk.top_k(huge, F.col("id") == 0).collect()}
-    assert got == {(1, 2, 2**63 - 1), (2, 1, -(2**63) + 1)}
+    huge = [(0, [1e308, 1.0]), (1, [-1e308, 1.0]), (2, [1e30, 0.0]), (3, [1e31, 0.0]), (4, [-1e31, 0.0]), (5, [-1e30, 0.0]), (6, [1e10, 0.0])]
+    got = {(r["rank"], r.vec_id, r.score) for r in topk.top_k(spark.createDataFrame(huge, "vec_id long, embedding array<double>"), F.col("id") == 0, k=6).collect()}
+    assert got == {(r, i, 2**63 - 1 if i in (2, 3, 6) else -(2**63) + 1) for r, i in enumerate((3, 2, 6, 5, 4, 1), 1)}
 
 
 # classifiers
