@@ -116,7 +116,8 @@ def search(tree: BallTree, queries: np.ndarray, own: np.ndarray, floor: np.ndarr
     bound = tree.bounds(queries)
     scores = np.full((len(queries), k), nothing, dtype=object if wide else np.int64)
     found = np.full((len(queries), k), nobody)
-    kth = floor.astype(np.float64)
+    bar = np.where(floor <= LEAST, -np.inf, floor.astype(np.float64))  # the low end of a long rules nothing out
+    kth = bar.copy()
     heap = [(-float(bound[:, 0].max()), 0)] if len(queries) else []
     while heap:
         _, at = heapq.heappop(heap)
@@ -142,8 +143,8 @@ def search(tree: BallTree, queries: np.ndarray, own: np.ndarray, floor: np.ndarr
         who[every == nothing] = nobody
         best = best_of(every, who, k)
         scores[rows], found[rows] = np.take_along_axis(every, best, 1), np.take_along_axis(who, best, 1)
-        kth[rows] = np.maximum(floor[rows].astype(np.float64), as_doubles(scores[rows, -1]))
-    at, place = np.nonzero((found != nobody) & (scores >= floor[:, None]))
+        kth[rows] = np.maximum(bar[rows], as_doubles(scores[rows, -1]))
+    at, place = np.nonzero((found != nobody) & ((scores >= floor[:, None]) | (floor <= LEAST)[:, None]))
     return at, found[at, place], scores[at, place]
 
 
