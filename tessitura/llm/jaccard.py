@@ -8,15 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .rowfilter import row_filter
 from .shared import bounded_batches, schema, stored
 from .sketches import Bands, exact_classes, sketch_keys
 from .text import NOT_SPACE, chunks, gathered, mix, trim
 
 #: Stands for a null key: before all others.
 NULL_KEY = -(2**63)
-#: Bytes of text that a map task gathers before it deals out shingles; items that meet in one exact comparison; bits of the row filter; slices
-#: of a bucket that are sorted one after the other.
-GATHER_BYTES, GROUP_ITEMS, FILTER_BITS, SLICES = 4 << 20, 1_000_000, 1 << 27, 8
+#: Bytes of text that a map task gathers before it deals out shingles; items that meet in one exact comparison; slices of a bucket that are
+#: sorted one after the other.
+GATHER_BYTES, GROUP_ITEMS, SLICES = 4 << 20, 1_000_000, 8
 
 
 def fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,35 +163,6 @@ def alone_in(packs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return nodes[got], total[got]
 
 
-def row_filter(ids: DataFrame) -> tuple[np.ndarray, int]:
-    """A bit table of the ids of ``ids``, of 16 bits an id and ``FILTER_BITS`` at most: beyond, more rows pass, none is lost."""
-    bits = 1 << 13
-    wanted = 16 * ids.count()
-    while bits < min(wanted, FILTER_BITS):
-        bits *= 2
-
-    def mark(batches):
-        table = np.zeros(bits // 8, dtype=np.uint8)
-        for batch in batches:
-            at = mix(batch.column(0).to_numpy().view(np.uint64)) % np.uint64(bits)
-            np.bitwise_or.at(table, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([table.tobytes()], pa.binary())], names=["g", "bits"])
-
-    def merge(batches):
-        table = None
-        for batch in batches:
-            for x in batch.column("bits").to_pylist():
-                got = np.frombuffer(x, np.uint8)
-                table = got.copy() if table is None else table | got
-        if table is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([table.tobytes()], pa.binary())], names=["g", "bits"])
-
-    kind = schema("g int, bits binary")
-    some = ids.coalesce(16).mapInArrow(mark, kind)
-    rows = some.repartition(1).mapInArrow(merge, kind).collect()
-    return (np.frombuffer(bytes(rows[0]["bits"]), np.uint8) if rows else np.zeros(bits // 8, dtype=np.uint8)), bits
-
-
 def union_find(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The edges (node, least node of its class) that hold together what the edges (u, v) do."""
     nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
@@ -349,15 +321,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     nodes = each.where("n > 0").groupBy("node", "check", "n").agg(F.min("id").alias("id"))
     left = nodes.join(alone, "node", "left").where(F.coalesce("alone", F.lit(0)) * num <= F.col("n") * (den - num)).select("node", "check", "n", "id")
     left = stored(left)
-    table, bits = row_filter(left.select("id"))
-    shared = spark.sparkContext.broadcast(table)
-
-    def passing(batches):
-        for batch in batches:
-            at = mix(batch.column("id").to_numpy().view(np.uint64)) % np.uint64(bits)
-            hit = (shared.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
-            if hit.any():
-                yield batch.filter(pa.array(hit.astype(bool)))
+    some = row_filter(left.select("id"))
 
     def matching(batches):
         # an id may stand for several texts
@@ -366,7 +330,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
             yield batch.filter(pa.array((node == batch.column("node").to_numpy()) & (check == batch.column("check").to_numpy())))
             trim()
 
-    joined = slim.mapInArrow(passing, schema("id long, text string")).join(left, "id").select("node", "check", "n", "text")
+    joined = slim.mapInArrow(some.passing, schema("id long, text string")).join(left, "id").select("node", "check", "n", "text")
     sets = stored(joined.mapInArrow(matching, joined.schema))
     labels = components(candidate_edges(sets, width, bands))
     linked = linked_sets(sets, labels, width, bands, group_items)

@@ -9,12 +9,12 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import spare
+from .shared import repeated, spare
 
 #: Bits of a hash that make the uniform number of a document.
 UNIT_BITS = 48
-#: Rates up to this are summed from 0, where exp(-rate) is still a full number; larger ones from the mode. Copies made at a time.
-NEAR_RATE, COPY_RUN = 700, 4096
+#: Rates up to this are summed from 0, where exp(-rate) is still a full number; larger ones from the mode.
+NEAR_RATE = 700
 
 
 def unit(*columns: Column | str, seed: int) -> Column:
@@ -62,14 +62,15 @@ def rates(docs: DataFrame, weights: Mapping[str, float], *, rest: float, source:
     """Mean repetitions by source, under None those of all other sources together.
 
     Sizes are UTF-8 bytes over all rows. Named sources and the rest together receive ``epochs`` times the bytes of the table, in proportion
-    to their weights; weights of sources that have no bytes are dealt to the others. What comes to the driver is one number for each name.
+    to their weights; weights of sources that have no bytes are dealt to the others. The rows of such a source, whose texts are all null or
+    empty, have the mean ``epochs``. What comes to the driver is one number for each name.
     """
     name = F.when(F.col(f"`{source}`").isin(*weights), F.col(f"`{source}`")) if weights else F.lit(None).cast("string")
     rows = docs.groupBy(name.alias("name")).agg(F.sum(F.coalesce(F.octet_length(f"`{text}`"), F.lit(0)).cast("long")).alias("size")).collect()
     sizes = {r["name"]: r["size"] for r in rows if r["size"]}
     wanted = {**weights, None: rest}
     total, share = sum(sizes.values()), sum(wanted[k] for k in sizes)
-    return {k: epochs * total * wanted[k] / share / sizes[k] for k in sizes} if share else {}
+    return {r["name"]: epochs if not r["size"] else epochs * total * wanted[r["name"]] / share / r["size"] if share else 0.0 for r in rows}
 
 
 def copies(source: Column, by_source: Mapping[str | None, float], at: Column) -> Column:
@@ -93,18 +94,18 @@ def mix(docs: DataFrame, weights: Mapping[str, float], *, rest: float = 0.0, key
 
     ``weights``: target shares by source; ``rest``: that of all other sources together, a null source included. Adds ``copy`` (from 0) and
     ``place``, a uniform number by which the copies are dealt to partitions and sorted in them; columns of these names are replaced, all
-    others stay. Key and seed alone decide the count, so repeated rows share it, and a rerun gives the same rows. Texts that are null or
-    empty have no size but are repeated like others of their source. An empty table gives no rows.
+    others stay. Seed, key and text alone decide the count and the places, so a rerun gives the same rows, and rows that share a key (or
+    have none) but not the text are counted and dealt on their own; rows equal in both share count and places. Texts that are null or empty
+    have no size but are repeated like others of their source, by ``epochs`` on average where it has no bytes at all. An empty table gives
+    no rows.
     """
     by_source = rates(docs, weights, rest=rest, source=source, text=text, epochs=epochs)
-    n = spare(docs, "n_copies")
-    out = docs.withColumn(n, copies(F.col(f"`{source}`"), by_source, unit(f"`{key}`", seed=seed))).where(F.col(n) > 0)
+    n, body = spare(docs, "n_copies"), spare(docs, "body")
+    out = docs.withColumn(body, F.md5(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
+    out = out.withColumn(n, copies(F.col(f"`{source}`"), by_source, unit(f"`{key}`", body, seed=seed))).where(F.col(n) > 0)
     if max(by_source.values(), default=0.0) > NEAR_RATE:
-        # in runs, so that no row holds an array of all its copies
-        run = spare(out, "run")
-        out = out.withColumn(run, F.explode(F.sequence(F.lit(0), F.floor((F.col(n) - 1) / COPY_RUN).cast("int"))))
-        out = out.withColumn(copy, F.explode(F.sequence(F.col(run) * COPY_RUN, F.least(F.col(n) - 1, F.col(run) * COPY_RUN + (COPY_RUN - 1))))).drop(n, run)
+        out = repeated(out, n, copy)
     else:
         out = out.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(n) - 1))).drop(n)
-    out = out.withColumn(place, unit(f"`{key}`", F.col(copy), seed=seed + 1))
+    out = out.withColumn(place, unit(f"`{key}`", F.col(copy), F.col(body), seed=seed + 1)).drop(body)
     return out.repartition(F.col(place)).sortWithinPartitions(place, copy) if shuffle else out

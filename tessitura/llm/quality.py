@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import held_out, training_labels
+from .rowfilter import row_filter
 from .shared import bounded_batches, extended, schema
 from .text import NOT_SPACE, Chunk, chunks, trim
 
@@ -75,21 +76,23 @@ def features(column: pa.Array) -> np.ndarray:
 
 @dataclass
 class Discriminant:
-    """Per class: log prior, mean, and the Cholesky factor of its covariance, computed once."""
+    """Per class: log prior, mean, and the Cholesky factor of its covariance with its inverse, both computed once."""
 
     centre: np.ndarray
     scale: np.ndarray
     prior: tuple[float, float]
     mean: tuple[np.ndarray, np.ndarray]
     factor: tuple[np.ndarray, np.ndarray]
+    inverse: tuple[np.ndarray, np.ndarray]
     temperature: float
 
     @classmethod
-    def fit(cls, count: np.ndarray, total: np.ndarray, square: np.ndarray, *, pooled: float, ridge: float, temperature: float) -> Discriminant:
+    def fit(cls, count: np.ndarray, total: np.ndarray, square: np.ndarray, *, pooled: float, ridge: float, temperature: float, spread: float) -> Discriminant:
         """From each class' number of rows, sums and sums of outer products.
 
         A class' covariance is shrunk toward the pooled one by ``pooled``, then toward the identity by ``ridge``. A class without rows has
-        the pooled shape at the common mean.
+        the pooled shape at the common mean. Classes far apart have log densities that differ by hundreds, which a probability can't show:
+        where the smaller divergence between them, cooled by ``temperature``, exceeds ``spread``, all odds are cooled by their ratio more.
         """
         d = total.shape[1]
         rows = max(count.sum(), 1.0)
@@ -109,15 +112,22 @@ class Discriminant:
             mixed = (1 - weight) * own + weight * common
             factors.append(np.linalg.cholesky((1 - ridge) * mixed + ridge * np.eye(d)))
         prior = np.log((count + 1) / (count.sum() + 2))
-        return cls(centre, scale, (float(prior[0]), float(prior[1])), (means[0], means[1]), (factors[0], factors[1]), temperature)
+        inverse = [np.linalg.inv(f) for f in factors]
+        apart = []
+        for a, b in ((0, 1), (1, 0)):
+            # the divergence of two normal distributions
+            logs = np.log(np.diag(factors[b])).sum() - np.log(np.diag(factors[a])).sum()
+            apart.append(logs + 0.5 * (((inverse[b] @ factors[a]) ** 2).sum() + ((inverse[b] @ (means[b] - means[a])) ** 2).sum() - d))
+        more = max(1.0, min(apart) / temperature / spread)
+        return cls(centre, scale, (float(prior[0]) / more, float(prior[1]) / more), (means[0], means[1]), (factors[0], factors[1]), (inverse[0], inverse[1]), temperature * more)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """The probability of class 1: half the difference of Mahalanobis distances and log determinants, cooled, plus the log prior odds."""
         z = (x - self.centre) / self.scale
         density = []
         for c in (0, 1):
-            away = np.linalg.solve(self.factor[c], (z - self.mean[c]).T)
-            density.append(-0.5 * (away**2).sum(axis=0) - np.log(np.diag(self.factor[c])).sum())
+            away = (z - self.mean[c]) @ self.inverse[c].T
+            density.append(-0.5 * (away**2).sum(axis=1) - np.log(np.diag(self.factor[c])).sum())
         odds = (density[1] - density[0]) / self.temperature + self.prior[1] - self.prior[0]
         return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
 
@@ -144,14 +154,15 @@ def moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return flat[:, 0], flat[:, 1 : 1 + d], flat[:, 1 + d :].reshape(2, d, d)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", modulus: int = 3, kept_out: int = 1, pooled: float = 0.15, ridge: float = 0.02, temperature: float = 2.0) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", modulus: int = 3, kept_out: int = 1, pooled: float = 0.15, ridge: float = 0.02, temperature: float = 2.0, spread: float = 4.0) -> DataFrame:
     """Adds score (0 to 1; higher: label 1 likelier), predicted (1 from 0.5) and held_out to every document.
 
     Statistics of whole texts alone make a score. The classifier is learnt from all labelled documents whose crc32(key as text) leaves
     another remainder than ``kept_out`` modulo ``modulus``; only class moments leave the executors. Null and empty texts have statistics
     of 0 and a score. Without usable labels scores are even. Labels that are null or not 0 or 1, or have a null key, do not count; of
     unlike labels of one key the largest does; repeated documents are learnt from as often as they are there, and score alike. Extra
-    columns stay, those of the new names are replaced. An empty table gives an empty result.
+    columns stay, those of the new names are replaced. An empty table gives an empty result. Unlabelled documents are told beforehand by
+    a bit table of the labelled keys, of bounded size, and measured once only.
     """
     bounded_batches(docs.sparkSession)
     known = training_labels(labels, key=key, label=label, modulus=modulus, kept_out=kept_out)
@@ -163,8 +174,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))], names=["id", "x"])
             trim()
 
-    measured = slim.where("id is not null").mapInArrow(measure, schema("id long, x array<double>")).join(known, F.col("id") == F.col("label_key")).select("x", "label")
-    model = Discriminant.fit(*moments(measured), pooled=pooled, ridge=ridge, temperature=temperature)
+    some = row_filter(known.select("label_key"))
+    measured = slim.where("id is not null").mapInArrow(some.passing, slim.schema).mapInArrow(measure, schema("id long, x array<double>")).join(known, F.col("id") == F.col("label_key")).select("x", "label")
+    model = Discriminant.fit(*moments(measured), pooled=pooled, ridge=ridge, temperature=temperature, spread=spread)
 
     def judge(batch: pa.RecordBatch) -> list[pa.Array]:
         score = model.score(features(batch.column(text)))

@@ -90,9 +90,9 @@ def _mix_sql() -> str:
     """The counts of ``mix``: a recursive Poisson distribution for each source, and the same hash."""
     named = ", ".join(f"'{k}'" for k in WEIGHTS)
     wanted = ", ".join(f"('{k}', {v}::double)" for k, v in WEIGHTS.items())
-    return f"""with recursive d as (select doc_id, source, case when source in ({named}) then source else '*' end as g, strlen(coalesce(text, '')) as size, ('0x' || substr(md5('{MIX_SEED}|' || doc_id), 1, 12))::bigint as h from documents),
-s as (select g, sum(size) as size from d group by 1 having sum(size) > 0), w(g, w) as (values {wanted}, ('*', {REST}::double)),
-r as (select g, (select sum(size) from s) * w / (select sum(w) from s join w using (g)) / size as rate from s join w using (g)),
+    return f"""with recursive d as (select doc_id, source, case when source in ({named}) then source else '*' end as g, strlen(coalesce(text, '')) as size, ('0x' || substr(md5('{MIX_SEED}|' || coalesce(doc_id::varchar, '') || '|' || md5(coalesce(text, ''))), 1, 12))::bigint as h from documents),
+s as (select g, sum(size) as size from d group by 1), w(g, w) as (values {wanted}, ('*', {REST}::double)),
+r as (select g, case when size > 0 then (select sum(size) from s) * w / (select sum(w) from s join w using (g) where size > 0) / size else 1 end as rate from s join w using (g)),
 p(g, rate, k, term, total) as (select g, rate, 0, exp(-rate), exp(-rate) from r union all select g, rate, k + 1, term * rate / (k + 1), total + term * rate / (k + 1) from p where k < rate + 60),
 n as (select doc_id, source, size, count(*) filter (least(1, total) <= (h + 0.5::double) * pow(2.0::double, -48)) as n from d join p using (g) group by d.doc_id, d.source, d.size)
 select doc_id, source, unnest(range(0, n))::int as copy, size::bigint as size from n where n > 0"""

@@ -111,14 +111,28 @@ def test_mix(spark, odd):
     assert sorted(mixed.collect()) == sorted(mixing.mix(docs.repartition(7), {"hot": 0.6, "b": 0.1}, rest=0.3, seed=3).collect())
     # the count is the Poisson distribution inverted at the document's own number
     steps = mixing.poisson_steps(1.8)
-    rows = docs.where("source = 'hot'").withColumn("u", mixing.unit("doc_id", seed=3)).collect()
+    rows = docs.where("source = 'hot'").withColumn("u", mixing.unit("doc_id", F.md5("text"), seed=3)).collect()
     want = {r.doc_id: sum(s <= r.u for s in steps) for r in rows}
     got = {r.doc_id: r["count"] for r in mixed.where("source = 'hot'").groupBy("doc_id").count().collect()}
     assert got == {k: v for k, v in want.items() if v}
-    assert mixing.mix(odd, {}, rest=1.0).count() >= 0
+    wide = mixing.mix(odd, {}, rest=1.0, epochs=400.0)
+    assert set(wide.columns) == {*odd.columns, "copy", "place"} and wide.where("kept <> 'mine' or score <> 'mine'").count() == 0
+    counts = {(r.doc_id, r.text): r["count"] for r in wide.groupBy("doc_id", "text").count().collect()}
+    assert set(counts) == set(ODD) and counts[(7, "a b c d e f")] % 2 == 0 and all(300 < n < 500 or k[0] == 7 for k, n in counts.items())
     assert mixing.mix(empty(spark, "doc_id long, text string, source string"), {"a": 1.0}).count() == 0
 
 
+def test_mix_keeps_sources_without_bytes_and_deals_rows_of_one_key(spark):
+    rows = [(i, "12345678", "a") for i in range(300)] + [(i, None if i % 2 else "", "none") for i in range(300, 900)] + [(None, f"text {i}", "b") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mixing.mix(docs, {"a": 0.5, "none": 0.3, "b": 0.5}, seed=3).cache()
+    assert 540 < mixed.where("source = 'none'").count() < 660
+    # rows without a key have counts and places of their own
+    lone = mixed.where("doc_id is null")
+    assert len({r["count"] for r in lone.groupBy("text").count().collect()}) > 1 and lone.select("place").distinct().count() == lone.count()
+    assert lone.select(F.spark_partition_id()).distinct().count() > 1
+
+
 def test_mix_of_a_tiny_source(spark):
     rows = [(i, "12345678" if i > 2 else "x", "big" if i > 2 else "tiny") for i in range(6000)]
     mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), {"tiny": 0.5}, rest=0.5, seed=3)
@@ -126,7 +140,7 @@ def test_mix_of_a_tiny_source(spark):
     rate = 0.5 * (5997 * 8 + 3) / 3
     assert rate > 7000 and dict(mixed.dtypes)["copy"] == "int"
     # the Poisson distribution inverted at each document's own number, in 80 digits
-    numbers = spark.range(3).select("id", mixing.unit("id", seed=3).alias("u")).collect()
+    numbers = spark.range(3).select("id", mixing.unit("id", F.md5(F.lit("x")), seed=3).alias("u")).collect()
     with decimal.localcontext(prec=80):
         for r in numbers:
             term = total = (-decimal.Decimal(rate)).exp()
