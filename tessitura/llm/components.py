@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import discard, stored, written
 
 
 def _toward_least(pairs: DataFrame, beyond: bool) -> DataFrame:
@@ -27,13 +27,15 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of ``edges`` (u, v), component being the smallest node reachable.
 
     Alternates large-star and small-star steps until the edges are stars about their least nodes. A step is an aggregation, partially
-    summed before its shuffle, and a join that adaptive execution can split; each round is written to the shared folder. Loops (u = v) and
+    summed before its shuffle, and a join that adaptive execution can split; each round is written to the shared folder, and the one before deleted. Loops (u = v) and
     repeated edges count for nothing; without edges the result is empty.
     """
+    spark, start = edges.sparkSession, written()
     now = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     while not settled(now):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _toward_least(both, beyond=True).where("u <> v")
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         now = stored(_toward_least(down, beyond=False).where("u <> v").distinct())
+        discard(spark, start, keep=1)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .rowfilter import row_filter
-from .shared import bounded_batches, schema, stored
+from .shared import bounded_batches, discard, schema, stored, written
 from .sketches import Bands, exact_classes, sketch_keys
 from .text import NOT_SPACE, chunks, gathered, mix, trim
 
@@ -17,7 +17,14 @@ from .text import NOT_SPACE, chunks, gathered, mix, trim
 NULL_KEY = -(2**63)
 #: Bytes of text that a map task gathers before it deals out shingles; items that meet in one exact comparison; slices of a bucket that are
 #: sorted one after the other.
-GATHER_BYTES, GROUP_ITEMS, SLICES = 4 << 20, 1_000_000, 8
+GATHER_BYTES, GROUP_ITEMS, SLICES = 4 << 20, 250_000, 8
+#: Bytes of text whose shingles one part counts: at least so many, and so many times the root of all bytes, so that neither the parts nor
+#: the rows that a task deals to them become too many.
+PART_BYTES, PART_ROOT = 16 << 20, 25
+
+
+def parts_of(total: int) -> int:
+    return max(1, round(total / max(PART_BYTES, PART_ROOT * total**0.5)))
 
 
 def fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,7 +136,7 @@ def profile(docs: DataFrame, width: int, parts: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(names), dtype=np.int32)), none, pa.array(sums), pa.array(names), none], names=out.names)
         trim()
 
-    return stored(docs.mapInArrow(deal, fields).repartition(parts, "part").mapInArrow(count, between).repartition(parts, "part").mapInArrow(total, out))
+    return stored(docs.mapInArrow(deal, fields).repartitionById(parts, "part").mapInArrow(count, between).repartitionById(parts, "part").mapInArrow(total, out))
 
 
 def alone_in(packs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -228,37 +235,31 @@ def candidate_edges(sets: DataFrame, width: int, bands: Bands) -> DataFrame:
     return sets.select("node", "text").mapInArrow(deal, fields).repartition("key").mapInArrow(meet, schema("u long, v long"))
 
 
-def meeting_places(placed: DataFrame, bands: Bands, limit: int) -> DataFrame:
-    """The ``place`` s where sets of components beyond ``limit`` items are compared, a row for each.
+def meeting_places(sets: DataFrame, labels: DataFrame, bands: Bands, limit: int) -> DataFrame:
+    """(place, node): where sets of one component of candidates are compared, a row for each.
 
-    Components are cut by size: a set meets those of its own band and of the bands beside it. What is larger still is cut into blocks, each
-    pair of which has a place: quadratic in the blocks, but never more than ``limit`` items in a place (or two sets), and every two sets
-    that can be similar have one.
+    Components are cut by size: a set meets those of its own band and of the bands beside it. What holds more than ``limit`` items still is
+    cut into blocks, each pair of which has a place: quadratic in the blocks, but never more than ``limit`` items in a place (or two sets),
+    and every two sets that can be similar have one. Sets that would be alone in a place have none.
     """
-    edges = bands.edges(placed.agg(F.coalesce(F.max("n"), F.lit(1))).first()[0] + 1).tolist()
-    band = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col("n"))) - 1
-    placed = placed.withColumn("band", F.explode(F.array(band, band - 1)))
-    sums = placed.groupBy("component", "band").agg(F.sum("n").alias("banded"))
+    edges = bands.edges(sets.agg(F.coalesce(F.max("n"), F.lit(1))).first()[0] + 1).tolist()
+    bounds = F.array(*map(F.lit, edges))
+    placed = sets.select("node", "n").join(labels, "node").withColumn("own", (F.size(F.filter(bounds, lambda e: e <= F.col("n"))) - 1).cast("int"))
+    # as the larger of a pair: only if a smaller set of the band below is similar enough
+    reaches = (F.col("own") > 0) & ((F.element_at(bounds, F.greatest(F.col("own"), F.lit(1)) + 1) - 1) * bands.den >= F.col("n") * bands.num)
+    placed = placed.withColumn("band", F.explode(F.when(reaches, F.array("own", F.col("own") - 1)).otherwise(F.array("own"))))
+    sums = placed.groupBy("component", "band").agg(F.sum("n").alias("banded"), F.count("*").alias("members")).where("members > 1")
     placed = placed.join(sums, ["component", "band"])
     blocks = F.when(F.col("banded") <= limit, F.lit(1)).otherwise(F.ceil(F.col("banded") / (limit // 2))).cast("int")
     placed = placed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     place = F.xxhash64("component", "band", F.least("block", "other"), F.greatest("block", "other"))
-    return placed.select(place.alias("place"), "node", "text")
+    return placed.select(place.alias("place"), "node")
 
 
 def linked_sets(sets: DataFrame, labels: DataFrame, width: int, bands: Bands, limit: int) -> DataFrame:
-    """(node, component) of the sets that are linked with others, exactly. A component of candidates of up to ``limit`` items is one place."""
-    sizes = sets.select("node", "n").join(labels, "node").groupBy("component").agg(F.sum("n").alias("items"))
-    large = stored(sizes.where(F.col("items") > limit))
-    some = large.limit(1).count()
-    placed = sets.join(labels, "node")
-    small = placed.join(large.select("component"), "component", "left_anti") if some else placed
-    done = exact_edges(small.select(F.col("component").alias("place"), "node", "text"), width, bands)
-    if some:
-        # a class may reach over several places of its component
-        done = done.unionByName(exact_edges(meeting_places(placed.join(large.select("component"), "component", "left_semi"), bands, limit), width, bands))
-    return components(done)
+    """(node, component) of the sets that are linked with others, exactly: a class may reach over several places of its component."""
+    return components(exact_edges(sets.select("node", "text").join(meeting_places(sets, labels, bands, limit), "node"), width, bands))
 
 
 def exact_edges(places: DataFrame, width: int, bands: Bands) -> DataFrame:
@@ -271,7 +272,7 @@ def exact_edges(places: DataFrame, width: int, bands: Bands) -> DataFrame:
         def close() -> None:
             if len(rows) > 1:
                 sets = all_sets(pa.array([t for _, t in rows], pa.string()), width)
-                label = exact_classes(sets, bands.num, bands.den)
+                label = exact_classes(sets, bands)
                 moved = np.flatnonzero(label != np.arange(len(rows)))
                 names = np.array([x for x, _ in rows], dtype=np.int64)
                 u.append(names[moved])
@@ -307,15 +308,17 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     Sets are compared through 64-bit shingle hashes and recognised as equal by 128 bits. (1) Equal sets become one node. (2) A set with more
     shingles of its own than similar sets may differ in is linked with nothing, exactly. (3) The others are cut into size bands; each makes
     a parity sketch for its bands, and sets with an agreeing sketch word are candidates, joined by stars and never by all pairs. (4) In each
-    component of candidates links are verified exactly. No link is lost and none is added. Hot shingles and keys are reduced in the map
-    tasks; a component beyond ``group_items`` is compared in blocks; nothing but a row filter of bounded size comes to the driver.
+    component of candidates, cut by bands, sets that share a sketch word and whose sketches differ in no more bits than similar sets can
+    differ in items are compared exactly. No link is lost and none is added. Hot shingles and keys are reduced in the map tasks; a component
+    of more than ``group_items`` in a band is compared in blocks; nothing but a row filter of bounded size comes to the driver.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     bands = Bands(num, den)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     slim = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NULL_KEY)).alias("id"), F.col(f"`{text}`").alias("text"))
-    profiled = profile(slim, width, parts)
+    size = slim.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    start = written()
+    profiled = profile(slim, width, max(parts_of(size), spark.sparkContext.defaultParallelism))
     each = profiled.where("kind = 0").select("id", "n", "node", "check")
     alone = profiled.where("kind = 1").select("node", F.col("n").alias("alone"))
     nodes = each.where("n > 0").groupBy("node", "check", "n").agg(F.min("id").alias("id"))
@@ -333,7 +336,8 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     joined = slim.mapInArrow(some.passing, schema("id long, text string")).join(left, "id").select("node", "check", "n", "text")
     sets = stored(joined.mapInArrow(matching, joined.schema))
     labels = components(candidate_edges(sets, width, bands))
-    linked = linked_sets(sets, labels, width, bands, group_items)
+    linked = stored(linked_sets(sets, labels, width, bands, group_items))
+    discard(spark, start + 1, keep=1)  # all but the profile and the classes
     named = nodes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("id").alias("component_id"))
     classes = named.join(least, "component").select("node", "check", "n", "component_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,8 +42,14 @@ def shared_folder(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
 
 
-#: Folders written by ``stored`` in this process, in order, and not deleted since.
-_WRITTEN: list[str] = []
+class _Written(threading.local):
+    """Folders written by ``stored`` in this thread, in order, and not deleted since."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+_WRITTEN = _Written()
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -50,22 +57,22 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _WRITTEN.append(path)
+    _WRITTEN.paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(spark: SparkSession, since: int, keep: int = 0) -> None:
     """Deletes what ``stored`` wrote from its ``since``-th folder on, but for the last ``keep``. Nothing may read these tables any more."""
-    gone = _WRITTEN[since : len(_WRITTEN) - keep]
-    for path in gone:
+    paths = _WRITTEN.paths
+    for path in paths[since : len(paths) - keep]:
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    _WRITTEN[since : len(_WRITTEN) - keep] = []
+    paths[since : len(paths) - keep] = []
 
 
 def written() -> int:
     """How many folders there are, to be named to ``discard`` later."""
-    return len(_WRITTEN)
+    return len(_WRITTEN.paths)
 
 
 def repeated(df: DataFrame, times: str, number: str | None = None, run: int = 4096) -> DataFrame:

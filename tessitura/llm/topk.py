@@ -269,7 +269,7 @@ def search_shards(base: DataFrame, queries: DataFrame, first: int, end: int, sha
                 for blob in batch.column("pack").slice(a, b - a).to_pylist():
                     yield from answer(trees, blob)
 
-    return held.unionByName(asked).repartition(max(1, end - first), "shard").sortWithinPartitions("shard", "kind").mapInArrow(run, out)
+    return held.unionByName(asked).repartitionById(max(1, end - first), (F.col("shard") - first).cast("int")).sortWithinPartitions("shard", "kind").mapInArrow(run, out)
 
 
 def top_k(vectors: DataFrame, is_query: Column, *, k: int = 5, key: str = "vec_id", vector: str = "embedding", scale: int = 256, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
