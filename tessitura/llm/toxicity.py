@@ -158,12 +158,13 @@ def least(value, w: np.ndarray, *, steps: int = 500, memory: int = 6, close: flo
     return w
 
 
-def fit(x: Presence, label: np.ndarray, kinds: list[list[np.ndarray]], *, fairness: float, ridge: float, clear_z: float) -> tuple[np.ndarray, float]:
+def fit(x: Presence, label: np.ndarray, kinds: list[list[np.ndarray]], *, fairness: float, ridge: float, clear_z: float, balance: float) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic regression on all features, with a ridge and a penalty on changes between counterfactuals.
 
     A feature counts by the square of its clearness: from ``clear_z`` standard errors on (or as clear as the clearest, if none reaches them)
     in full, below by (z / clear_z)**2. None is left out. ``kinds``: the columns of identity terms; these count in full, so that the penalty
-    can hold them together. Solved in variables in which ridge and penalty together are ``ridge`` times the identity.
+    can hold them together. A text of the rarer label counts as the ratio of the labels to the power ``balance``: 1 for even weights of both.
+    Solved in variables in which ridge and penalty together are ``ridge`` times the identity.
     """
     positive = int(label.sum())
     one, every = x.spread(label), x.spread(np.ones(len(label)))
@@ -173,6 +174,8 @@ def fit(x: Presence, label: np.ndarray, kinds: list[list[np.ndarray]], *, fairne
     scale[terms] = 1.0
     places = [[np.searchsorted(terms, t) for t in kind] for kind in kinds]
     penalty = counterfactuals([[float(every[t[0]]) for t in kind] for kind in kinds], places, len(terms))
+    ratio = (len(label) - positive) / positive
+    counts = np.where((label == 1) == (ratio > 1), max(ratio, 1 / ratio) ** balance, 1.0)
     turn = np.linalg.inv(np.linalg.cholesky(fairness / ridge * penalty + np.eye(len(terms))))
 
     def weights(u: np.ndarray) -> np.ndarray:
@@ -182,17 +185,17 @@ def fit(x: Presence, label: np.ndarray, kinds: list[list[np.ndarray]], *, fairne
 
     def value(u: np.ndarray) -> tuple[float, np.ndarray]:
         odds = x.sums(weights(u)) + u[-1]
-        miss = 1 / (1 + np.exp(-np.clip(odds, -500, 500))) - label
+        miss = counts * (1 / (1 + np.exp(-np.clip(odds, -500, 500))) - label)
         raw = x.spread(miss)
         slope = scale * raw + ridge * u[:-1]
         slope[terms] = turn @ raw[terms] + ridge * u[terms]
-        return float(np.logaddexp(0, odds).sum() - label @ odds + ridge / 2 * (u[:-1] @ u[:-1])), np.append(slope, miss.sum())
+        return float(counts @ np.logaddexp(0, odds) - (counts * label) @ odds + ridge / 2 * (u[:-1] @ u[:-1])), np.append(slope, miss.sum())
 
     u = least(value, np.append(np.zeros(x.width), np.log(positive / (len(label) - positive))))
     return weights(u), float(u[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, *, key: str, text: str, label: str, modulus: int, kept_out: int, rows: int, identity, fairness: float, ridge: float, clear_z: float) -> Linear:
+def train(docs: DataFrame, labels: DataFrame, *, key: str, text: str, label: str, modulus: int, kept_out: int, rows: int, identity, fairness: float, ridge: float, clear_z: float, balance: float) -> Linear:
     """Learns from at most ``rows`` labelled keys, those of the smallest hashes; of each, which features it has comes to the driver."""
     known = training_labels(labels, key=key, label=label, modulus=modulus, kept_out=kept_out)
     sample = F.broadcast(known.orderBy(F.xxhash64("label_key"), "label_key").limit(rows))
@@ -221,11 +224,11 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str, text: str, label: str
     seen[[b for kind in kinds for t in kind for b in t]] = True
     place = (np.cumsum(seen) - 1).astype(np.int32)
     x = Presence(start, place[bucket], int(seen.sum()))
-    weight[seen], bias = fit(x, truth, [[place[t].astype(np.int64) for t in kind] for kind in kinds], fairness=fairness, ridge=ridge, clear_z=clear_z)
+    weight[seen], bias = fit(x, truth, [[place[t].astype(np.int64) for t in kind] for kind in kinds], fairness=fairness, ridge=ridge, clear_z=clear_z, balance=balance)
     return Linear(weight, bias)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", modulus: int = 4, kept_out: int = 2, threshold: float = 0.3, rows: int = TRAIN_ROWS, identity: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, fairness: float = 50.0, ridge: float = 0.5, clear_z: float = 6.5) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", modulus: int = 4, kept_out: int = 2, threshold: float = 0.3, rows: int = TRAIN_ROWS, identity: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, fairness: float = 50.0, ridge: float = 0.5, clear_z: float = 6.5, balance: float = 0.5) -> DataFrame:
     """Adds score (0 to 1; higher: label 1 likelier), predicted (1 from ``threshold``) and held_out to every document.
 
     The distinct words and word beginnings of whole texts alone make a score. Learnt from labelled documents whose crc32(key as text) leaves another remainder
@@ -235,7 +238,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", t
     columns stay, those of the new names are replaced. An empty table gives an empty result.
     """
     bounded_batches(docs.sparkSession)
-    model = train(docs, labels, key=key, text=text, label=label, modulus=modulus, kept_out=kept_out, rows=rows, identity=identity, fairness=fairness, ridge=ridge, clear_z=clear_z)
+    model = train(docs, labels, key=key, text=text, label=label, modulus=modulus, kept_out=kept_out, rows=rows, identity=identity, fairness=fairness, ridge=ridge, clear_z=clear_z, balance=balance)
 
     def judge(batch: pa.RecordBatch) -> list[pa.Array]:
         score = model.score(batch.column(text))
