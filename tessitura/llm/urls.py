@@ -13,10 +13,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, extended, spare
+from .shared import bounded_batches, extended, spare, stored
 
-#: Longest word that a split considers, in characters.
-LONGEST_WORD = 20
+#: Longest word that a split considers, in characters: as long as a label of a host name may be.
+LONGEST_WORD = 63
 
 # Labelled host names and paths, from which the classifier learns.
 BLOCKED_URLS = (
@@ -107,7 +107,7 @@ def viterbi(part: str, score: dict[str, float], unknown: float) -> list[str]:
 def split_names(names: DataFrame, counts: DataFrame, trusted: dict[str, int]) -> DataFrame:
     """(name, words) of the distinct names: each meets the counts of its own substrings, and is split where it meets them.
 
-    No vocabulary leaves the cluster: a name of n letters asks for at most 20 n words, by a join on the word.
+    No vocabulary leaves the cluster: a name asks for the counts of its substrings of up to ``LONGEST_WORD`` letters, by a join on the word.
     """
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()["total"] + sum(trusted.values())
     ends = F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), F.length("name") - i + 1)), lambda n: F.substr(F.col("name"), i, n)))
@@ -157,8 +157,10 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], *, corpus: DataFrame, ur
     """Adds host, path, rule, log_odds and verdict to each row of ``pages``.
 
     The longest fitting rule decides. Else the name parts of the host are split into words by unigram Viterbi, with word counts over the
-    visible text of all rows of ``corpus``, and naive Bayes scores these words and the path's: above 0 the verdict is block. Hosts are split once each, so one
-    host may hold any share of the rows: they meet its words in a join that adaptive execution can split. A null url, or one without
+    visible text of all rows of ``corpus``, and naive Bayes scores these words and the path's: above 0 the verdict is block. The classifier
+    learns from ``blocked`` and ``allowed``, urls without scheme. Hosts are split and scored once each, so one host may hold any share of the
+    rows; the scores are written down, so that Spark knows their size and broadcasts them if they are few, and else joins them with the rows
+    in a join that adaptive execution can split. A null url, or one without
     ``://``, has an empty host and path, no word, log odds 0 and the verdict allow. Repeated rows are judged alike; columns of the new
     names are replaced, all others stay; an empty table gives an empty result.
     """
@@ -170,14 +172,20 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], *, corpus: DataFrame, ur
     parts = F.filter(F.split(F.regexp_replace("host", r"\.[^.]*$", ""), "[^a-z]+"), lambda x: F.length(x) > 0)
     named = hosts.withColumn("parts", parts)
     split = split_names(named.select(F.explode("parts").alias("name")).distinct(), word_counts(corpus, html=html), trusted)
-    by_host = named.select("host", F.posexplode("parts").alias("at", "name")).join(split, "name").groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "words"))), lambda x: x["words"])).alias("words"))
-    other, held, fit = (spare(pages, name) for name in ("_host", "_words", "_rule"))
-    joined = placed.join(by_host.select(F.col("host").alias(other), F.col("words").alias(held)), F.col("host") == F.col(other), "left").drop(other)
+    words = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "words"))), lambda x: x["words"]))
+    by_host = named.select("host", F.posexplode("parts").alias("at", "name")).join(split, "name").groupBy("host").agg(words.alias("words"))
+
+    def host_odds(batch: pa.RecordBatch) -> list[pa.Array]:
+        return [pa.array([model.score(w or ()) for w in batch.column("words").to_pylist()], pa.float64())]
+
+    other, held, fit = (spare(pages, name) for name in ("_host", "_odds", "_rule"))
+    scored_hosts = stored(extended(by_host, host_odds, "odds double").where("odds <> 0").select(F.col("host").alias(other), F.col("odds").alias(held)))
+    joined = placed.join(scored_hosts, F.col("host") == F.col(other), "left").drop(other)
 
     def odds(batch: pa.RecordBatch) -> list[pa.Array]:
-        words, paths = batch.column(held).to_pylist(), batch.column("path").to_pylist()
-        scores = [model.score([*(w or ()), *(x for x in re.split("[^a-z]+", p.lower()) if x)]) for w, p in zip(words, paths, strict=True)]
-        return [pa.array(np.array(scores, dtype=np.float64))]
+        own = batch.column(held).fill_null(0.0).to_numpy()
+        path = [model.score(x for x in re.split("[^a-z]+", p.lower()) if x) for p in batch.column("path").to_pylist()]
+        return [pa.array(own + np.array(path, dtype=np.float64))]
 
     scored = extended(joined, odds, "log_odds double").drop(held)
     chosen = scored.withColumn(fit, longest_rule(F.col("host"), F.col("path"), rules))

@@ -97,6 +97,40 @@ def jaccard_classes(docs, width, num, den):
     return {doc: (len(s), root(doc)) for doc, s in sets}
 
 
+def best_split(name, cost):
+    """The words of the cheapest split of ``name``, found by trying all of them from the front; ties to the longer last word."""
+    best = {0: (0.0, [])}
+    for end in range(1, len(name) + 1):
+        best[end] = max(((best[a][0] + cost(name[a:end]), best[a][1] + [name[a:end]]) for a in range(end)), key=lambda x: (round(x[0], 9), len(x[1][-1])))
+    return best[len(name)][1]
+
+
+def urls_judged(pages, rules, texts, weight, trusted):
+    """{page_id: (host, path, rule, verdict)}."""
+    counts = {}
+    for text in texts:
+        for w in re.findall("[a-z]+", text.lower()):
+            counts[w] = counts.get(w, 0) + 1
+    total = sum(counts.values()) + sum(trusted.values())
+
+    def cost(word):
+        n = counts.get(word, 0) * np.exp(4.0 * (min(len(word), 3) - 3)) + trusted.get(word, 0)
+        return np.log(n / total) if n else -np.log(total) - 2.5 * len(word)
+
+    out = {}
+    for page, url in pages:
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host, path = re.match(r"([^/?#]*)([^?#]*)", rest).groups()
+        host = host.translate(LOWER)
+        fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        rule = max(fits, key=lambda r: len(r.host + r.path), default=None)
+        names = [x for x in re.split("[^a-z]+", host.rpartition(".")[0]) if x]
+        tokens = [w for x in names for w in best_split(x, cost)] + re.findall("[a-z]+", path.lower())
+        odds = sum(weight.get(t, 0.0) for t in tokens)
+        out[page] = (host, path, rule and rule.text, rule.verdict if rule else "block" if odds > 0 else "allow")
+    return out
+
+
 def top_k(vectors, k=5, scale=256):
     """{(query, rank): (id, score)}; ``vectors``: (id, list)."""
     sound = [(i, np.floor(scale * np.array(v, dtype=np.float64)).astype(np.int64)) for i, v in vectors if v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v)]
