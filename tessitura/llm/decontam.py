@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, extended, schema, spare
+from .shared import bounded_batches, extended, schema, spare, stored
 from .text import ALPHANUMERIC, Chunk, chunks, rolling, trim
 
 #: Words of a prefix shingle; bytes of benchmark text in one broadcast index.
@@ -43,27 +44,28 @@ def shingle_hashes(chunk: Chunk, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Windows:
-    """The windows of a block of items: word hashes row by row, lengths, and the item of each."""
+    """The windows of a block of items: the hashes of all its words one behind the other, and where each window begins in them, its length and item."""
 
     words: np.ndarray
+    begin: np.ndarray
     length: np.ndarray
     item: np.ndarray
     items: list[str]
 
     @classmethod
     def of(cls, items: list[str], texts: list[str], width: int) -> Windows:
-        words, length, item = [], [], []
+        words, begin, length, item, at = [], [], [], [], 0
         for chunk in chunks(pa.array(texts, pa.string()), ALPHANUMERIC, lower=True):
-            for k in range(chunk.texts):
-                a, b = int(chunk.word_from[k]), int(chunk.word_from[k + 1])
-                if n := min(width, b - a):
-                    view = np.lib.stride_tricks.sliding_window_view(chunk.hashes[a:b], n)
-                    words.append(np.pad(view, ((0, 0), (0, width - n))))
-                    length += [n] * len(view)
-                    item += [chunk.row + k] * len(view)
-        if not words:
-            return cls(np.zeros((0, width), dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), items)
-        return cls(np.concatenate(words), np.array(length), np.array(item), items)
+            size = np.minimum(width, chunk.counts)
+            many = np.where(size > 0, chunk.counts - size + 1, 0)
+            owner = np.repeat(np.arange(chunk.texts), many)
+            begin.append((at + chunk.word_from[:-1])[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many))
+            length.append(size[owner].astype(np.int32))
+            item.append((chunk.row + owner).astype(np.int32))
+            words.append(chunk.hashes)
+            at += len(chunk.hashes)
+        none = np.zeros(0, dtype=np.int64)
+        return cls(np.concatenate([*words, np.zeros(width, dtype=np.uint64)]), *(np.concatenate(x) if x else none for x in (begin, length, item)), items)
 
     def prefix_options(self) -> dict[int, np.ndarray]:
         """For each shingle width (that of the window, where it is shorter) the windows that use it."""
@@ -92,8 +94,8 @@ class Index:
             length = self.windows.length[window_at]
             fits = (start >= chunk.word_from[text]) & (start + length <= chunk.word_from[text + 1])
             start, window_at, length = start[fits], window_at[fits], length[fits]
-            for k in range(self.windows.words.shape[1]):
-                same = (k >= length) | (chunk.hashes[np.minimum(start + k, len(chunk.hashes) - 1)] == self.windows.words[window_at, k])
+            for k in range(int(length.max(initial=0))):
+                same = (k >= length) | (chunk.hashes[np.minimum(start + k, len(chunk.hashes) - 1)] == self.windows.words[self.windows.begin[window_at] + k])
                 start, window_at, length = start[same], window_at[same], length[same]
             found.append((start, length, self.windows.item[window_at]))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, dtype=np.int64),) * 3
@@ -132,7 +134,8 @@ def build_index(docs: DataFrame, text: str, windows: Windows) -> Index:
     for w, rows in windows.prefix_options().items():
         count = np.maximum(windows.length[rows] - w + 1, 1)
         places = int(count.max())
-        value = np.stack([rolling(windows.words[rows][:, p : p + w].reshape(-1), w)[::w] ^ np.uint64(w) if p + w <= windows.words.shape[1] else np.zeros(len(rows), dtype=np.uint64) for p in range(places)], axis=1)
+        every = rolling(windows.words, w) ^ np.uint64(w)
+        value = np.stack([every[np.minimum(windows.begin[rows] + p, len(every) - 1)] for p in range(places)], axis=1)
         shingles[w] = (rows, value, np.arange(places)[None, :] < count[:, None])
     tokens = {w: np.unique(value[ok]) for w, (_, value, ok) in shingles.items()}
     counts = corpus_counts(docs, text, tokens) if tokens else {}
@@ -181,13 +184,13 @@ def mark_benchmark(docs: DataFrame, items: DataFrame, *, text: str = "text", ite
     hits nothing. Words are compared through 64-bit hashes, one by one over the whole window.
 
     The benchmark is cut into blocks of about ``block_bytes`` and each block's index, bounded by that, is broadcast. One block, as usual,
-    needs no shuffle; with more, the documents are read once for each and the rare hits joined.
+    needs no shuffle; of more, each is worked through and its broadcast freed before the next, and the rare hits are joined in the end.
     """
     spark: SparkSession = docs.sparkSession
     bounded_batches(spark)
     key, ids_name, found_name, marks = spare(docs, "body_key"), spare(docs, "_ids"), spare(docs, "_found"), []
-    indexes = (build_index(docs, text, Windows.of(*block, width)) for block in item_blocks(items, item_key, item_text, block_bytes))
-    shared = [spark.sparkContext.broadcast(index) for index in indexes]
+    indexes = (spark.sparkContext.broadcast(build_index(docs, text, Windows.of(*block, width))) for block in item_blocks(items, item_key, item_text, block_bytes))
+    index, more = next(indexes), next(indexes, None)
     ddl = "n_words long, n_hit long, item_ids array<string>, spans array<struct<first:long,end:long>>"
 
     def results(counts: list[int], spans: list[list[tuple[int, int]]], ids: list[list[str]]) -> list[pa.Array]:
@@ -206,15 +209,15 @@ def mark_benchmark(docs: DataFrame, items: DataFrame, *, text: str = "text", ite
                 hit[chunk.row + t] = (spans_of(first[mine] - chunk.word_from[t], words[mine]), sorted({index.windows.items[i] for i in np.unique(item[mine]).tolist()}))
         return counts, hit
 
-    if len(shared) == 1:
+    if more is None:
 
         def find(batch: pa.RecordBatch) -> list[pa.Array]:
-            counts, hit = scan(batch.column(text), shared[0].value)
+            counts, hit = scan(batch.column(text), index.value)
             return results(counts, [hit.get(i, ((), ()))[0] for i in range(len(counts))], [hit.get(i, ((), ()))[1] for i in range(len(counts))])
 
         return extended(docs, find, ddl)
 
-    for one in shared:
+    for one in chain((index, more), indexes):
 
         def find_some(batches, one=one):
             for batch in batches:
@@ -224,7 +227,8 @@ def mark_benchmark(docs: DataFrame, items: DataFrame, *, text: str = "text", ite
                 yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(at, pa.int64())), pa.array([hit[i][1] for i in at], pa.list_(pa.string())), pa.array([[{"first": a, "end": b} for a, b in hit[i][0]] for i in at], kind)], names=[key, "ids", "found"])
 
         body = docs.select(F.md5(f"`{text}`").alias(key), F.col(f"`{text}`").alias("text")).where("text is not null")
-        marks.append(body.mapInArrow(find_some, schema(f"{key} string, ids array<string>, found array<struct<first:long,end:long>>")))
+        marks.append(stored(body.mapInArrow(find_some, schema(f"{key} string, ids array<string>, found array<struct<first:long,end:long>>")).distinct()))
+        one.destroy()
     union = marks[0]
     for more in marks[1:]:
         union = union.unionByName(more)
