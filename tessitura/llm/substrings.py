@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .jaccard import NULL_KEY
-from .shared import bounded_batches, extended, schema, spare
+from .shared import bounded_batches, extended, schema, spare, stored
 from .text import NOT_SPACE, Chunk, chunks, gathered, mix, powers, rolling, trim
 
-#: Words of a minimiser; bytes of text that a map task gathers; packed bytes that a bucket should hold.
-MINIMISER, GATHER_BYTES, BUCKET_BYTES = 3, 8 << 20, 3 << 20
+#: Words of a minimiser; bytes of text that a map task gathers; bytes that a bucket should hold, and those that a task should; bytes of
+#: unlike runs from which on a bucket is heavy.
+MINIMISER, GATHER_BYTES, BUCKET_BYTES, TASK_BYTES, HEAVY_BYTES = 3, 8 << 20, 3 << 20, 96 << 20, 48 << 20
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -116,9 +117,22 @@ def window_repeats(texts: list[bytes], key: np.ndarray, first: np.ndarray, width
     return np.asarray(runs, dtype=np.int64), np.asarray(starts, dtype=np.int64), np.asarray(counts, dtype=np.int64)
 
 
-def repeated_windows(docs: DataFrame, width: int, buckets: int) -> DataFrame:
-    """(key, body, first, count): windows of (key, body, text) that start earlier elsewhere, as runs of consecutive first words."""
-    fields, out = schema("bucket long, pack binary"), schema("key long, body int, first int, count int")
+def single_windows(texts: list[bytes], width: int) -> tuple[np.ndarray, ...]:
+    """(run, place in it, two hashes) of each window of the runs ``texts``."""
+    (chunk,) = chunks(pa.array(texts, pa.binary()).cast(pa.string()), NOT_SPACE, lower=False, limit=1 << 40)
+    at, value = chunk.windows(width)
+    other = rolling(mix(chunk.hashes ^ np.uint64(0x94D049BB133111EB)), width)[at] if len(at) else value
+    run = chunk.text_of_word[at]
+    return run, at - chunk.word_from[run], value.view(np.int64), other.view(np.int64)
+
+
+def repeated_windows(docs: DataFrame, width: int, buckets: int, tasks: int, heavy: int) -> DataFrame:
+    """(key, body, first, count): windows of (key, body, text) that start earlier elsewhere, as runs of consecutive first words.
+
+    A bucket whose unlike runs exceed ``heavy`` bytes, as of a very common minimiser, is not held: its windows go on one by one, by two
+    64-bit hashes of their own, and meet in an aggregation that any number of tasks can share.
+    """
+    fields, out = schema("bucket long, pack binary"), schema("key long, body int, first int, count int, one long, two long")
 
     def deal(batches):
         for table in gathered(batches, GATHER_BYTES):
@@ -147,8 +161,19 @@ def repeated_windows(docs: DataFrame, width: int, buckets: int) -> DataFrame:
             for a in range(0, len(rows), 256):
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[a : a + 256]], pa.int64()), pa.array([r[1] for r in rows[a : a + 256]], pa.binary())], names=fields.names)
 
-    def rows_of(key, body, first, count):
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(body.astype(np.int32)), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32))], names=out.names)
+    def rows_of(key, body, first, count, one=None, two=None):
+        none = pa.nulls(len(key), pa.int64())
+        places = [pa.array(key), *(pa.array(x.astype(np.int32)) for x in (body, first, count))]
+        return pa.RecordBatch.from_arrays([*places, none if one is None else pa.array(one), none if two is None else pa.array(two)], names=out.names)
+
+    def singles(key, body, first, count, texts):
+        """The windows of runs, one by one; in slices of bounded size."""
+        ends = np.cumsum([len(t) for t in texts])
+        for some in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(ends // GATHER_BYTES)) + 1):
+            if len(some):
+                run, place, one, two = single_windows([texts[i] for i in some.tolist()], width)
+                mine = some[run]
+                yield rows_of(key[mine], body[mine], first[mine] + place, np.ones(len(mine)), one, two)
 
     def merged(held: list):
         """The runs held, equal ones once; rows for the others."""
@@ -160,43 +185,48 @@ def repeated_windows(docs: DataFrame, width: int, buckets: int) -> DataFrame:
         return (key[kept], body[kept], first[kept], count[kept], [texts[i] for i in kept.tolist()]), rows_of(key[again], body[again], first[again], count[again])
 
     def count_windows(batches):
-        now, held, size = None, [], 0
+        now, held, size, spread = None, [], 0, False
 
         def close():
-            key, body, first, count, texts = held[0]
-            run, at, many = window_repeats(texts, key, first, width)
-            return rows_of(key[run], body[run], at, many)
+            if held:
+                one, rest = merged(held)
+                yield rest
+                key, body, first, count, texts = one
+                run, at, many = window_repeats(texts, key, first, width)
+                yield rows_of(key[run], body[run], at, many)
 
         for batch in batches:
             for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("pack").to_pylist(), strict=True):
                 if bucket < 0:
                     yield rows_of(*unpack(blob)[:4])
                     continue
-                if bucket != now and held:
-                    one, rest = merged(held)
-                    yield rest
-                    held[:] = [one]
-                    yield close()
-                    held, size = [], 0
+                if bucket != now:
+                    yield from close()
+                    now, held, size, spread = bucket, [], 0, False
                     trim()
-                now = bucket
                 got = unpack(blob)
+                if spread:
+                    yield from singles(*got)
+                    continue
                 held.append(got)
                 size += sum(map(len, got[4]))
-                if size > 4 * BUCKET_BYTES:
+                if size > max(4 * BUCKET_BYTES, heavy):
                     one, rest = merged(held)
                     yield rest
-                    held, size = [one], 0
-        if held:
-            one, rest = merged(held)
-            yield rest
-            held[:] = [one]
-            yield close()
+                    held, size = [one], sum(map(len, one[4]))
+                    if size > heavy // 2:
+                        yield from singles(*one)
+                        held, size, spread = [], 0, True
+        yield from close()
 
-    return docs.mapInArrow(deal, fields).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count_windows, out)
+    found = stored(docs.mapInArrow(deal, fields).repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(count_windows, out))
+    windows = found.where("one is not null").select("key", "body", "first", "one", "two")
+    earliest = windows.groupBy("one", "two").agg(F.min(F.struct("key", "first")).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = windows.join(earliest, ["one", "two"]).where(F.struct("key", "first") > F.col("least")).select("key", "body", "first", F.lit(1).alias("count"))
+    return found.where("one is null").select("key", "body", "first", "count").unionByName(later)
 
 
-def drop_repeated_windows(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 20, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def drop_repeated_windows(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 20, bucket_bytes: int = BUCKET_BYTES, heavy_bytes: int = HEAVY_BYTES) -> DataFrame:
     """Adds n_words, n_removed and kept: the words of each text without those that repeated windows cover, joined by one space.
 
     Words are what stands between ASCII white space, unchanged. A window is ``width`` consecutive words of one text; it repeats if its words
@@ -206,12 +236,14 @@ def drop_repeated_windows(docs: DataFrame, *, key: str = "doc_id", text: str = "
     new names are replaced. An empty table gives an empty result.
 
     Consecutive windows with one minimiser travel as one packed run to the minimiser's bucket. Runs that a task has seen before are dropped
-    there, so a passage of many copies travels once from each task; buckets have a bounded size, since their number grows with the texts.
+    there, so a passage of many copies travels once from each task. The number of buckets and of tasks grows with the texts; a bucket of
+    ``heavy_bytes`` of unlike runs is dealt on by the windows themselves, compared by 128 bits of hash instead of word by word.
     """
     bounded_batches(docs.sparkSession)
     slim = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NULL_KEY)).alias("key"), F.hash(f"`{text}`").alias("body"), F.col(f"`{text}`").alias("text")).where("text is not null")
     total = slim.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
-    repeats = repeated_windows(slim, width, max(1, 3 * total // bucket_bytes))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-3 * total // TASK_BYTES))
+    repeats = repeated_windows(slim, width, max(1, 3 * total // bucket_bytes), tasks, heavy_bytes)
     k, b, held = (spare(docs, name) for name in ("_key", "_body", "_spans"))
     spans = repeats.groupBy("key", "body").agg(F.collect_list(F.struct("first", "count")).alias(held)).select(F.col("key").alias(k), F.col("body").alias(b), held)
     joined = docs.join(spans, (F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NULL_KEY)) == F.col(k)) & (F.hash(f"`{text}`") == F.col(b)), "left").drop(k, b)

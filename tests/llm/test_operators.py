@@ -171,6 +171,21 @@ def test_urls(spark):
     assert urls.judge_urls(pages.limit(0), RULES, corpus=html.limit(0)).count() == 0
 
 
+def test_urls_against_brute_force(spark):
+    rng = random.Random(12)
+    parts = ["spam", "farm", "city", "library", "casino", "blog", "zzq", "free", "news", "x" * 30]
+    found = []
+    for i in range(150):
+        host = rng.choice(["", "www.", "m."]) + "".join(rng.sample(parts, rng.randint(1, 3))) + rng.choice([".example.net", ".com", ".example.org", "-" + rng.choice(parts) + ".net"])
+        found.append((i, f"http://{host}/{rng.choice(['de', 'fr', 'en/1', 'es', 'slots/win', 'q' * 3000])}/{i}"))
+    texts = [" ".join(rng.choice(parts) for _ in range(40)) for _ in range(20)]
+    html = spark.createDataFrame([(f"<p>{t}</p>",) for t in texts], "html string")
+    rows = urls.judge_urls(spark.createDataFrame(found, "page_id long, url string").repartition(3), RULES, corpus=html).collect()
+    model, trusted = urls.train()
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in rows} == brute.urls_judged(found, RULES, texts, model.weight, trusted)
+    assert len({round(r.log_odds, 6) for r in rows}) > 20 and {r.verdict for r in rows if r.rule is None} == {"allow", "block"}
+
+
 def test_split_by_counts(spark):
     counts = spark.createDataFrame([("green", 50), ("house", 60), ("gre", 1), ("enhouse", 1)], "word string, n long")
     names = spark.createDataFrame([("greenhouse",), ("",), ("zzz",)], "name string")
@@ -208,11 +223,13 @@ def test_decontamination_edges(spark, odd):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_substrings(spark, seed):
+def test_substrings(spark, seed, monkeypatch):
     rows = corpus(seed, 90)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    for width, bucket in ((20, 4 << 20), (6, 2000)):
-        got = substrings.drop_repeated_windows(df, width=width, bucket_bytes=bucket).collect()
+    for width, more in ((20, {}), (6, {"bucket_bytes": 2000}), (6, {"heavy_bytes": 300})):  # the last with heavy buckets
+        if "heavy_bytes" in more:
+            monkeypatch.setattr(substrings, "BUCKET_BYTES", 10)
+        got = substrings.drop_repeated_windows(df, width=width, **more).collect()
         assert {r.doc_id: (r.n_words, r.n_removed, brute.sha(r.kept)) for r in got} == brute.windows_removed(rows, width)
 
 
