@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import extended, spare
+from .shared import extended, spare, stored
 
 #: Stands for a null key in the order of documents: before all others.
 NULL_KEY = -(2**63)
@@ -38,7 +38,8 @@ def drop_repeated_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "te
     adaptive execution can split.
     """
     k, b, held = (spare(docs, name) for name in ("_key", "_body", "_starts"))
-    starts = repeated_starts(docs, key=key, text=text, width=width).select(F.col("key").alias(k), F.col("body").alias(b), F.col("starts").alias(held))
+    # written down, so that Spark knows their size and moves the texts only where there are many
+    starts = stored(repeated_starts(docs, key=key, text=text, width=width).select(F.col("key").alias(k), F.col("body").alias(b), F.col("starts").alias(held)))
     joined = docs.join(starts, (F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NULL_KEY)) == F.col(k)) & (F.xxhash64(f"`{text}`") == F.col(b)), "left").drop(k, b)
 
     def keep(batch: pa.RecordBatch) -> list[pa.Array]:

@@ -245,7 +245,8 @@ def drop_repeated_windows(docs: DataFrame, *, key: str = "doc_id", text: str = "
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-3 * total // TASK_BYTES))
     repeats = repeated_windows(slim, width, max(1, 3 * total // bucket_bytes), tasks, heavy_bytes)
     k, b, held = (spare(docs, name) for name in ("_key", "_body", "_spans"))
-    spans = repeats.groupBy("key", "body").agg(F.collect_list(F.struct("first", "count")).alias(held)).select(F.col("key").alias(k), F.col("body").alias(b), held)
+    # written down, so that Spark knows their size and moves the texts only where there are many
+    spans = stored(repeats.groupBy("key", "body").agg(F.collect_list(F.struct("first", "count")).alias(held)).select(F.col("key").alias(k), F.col("body").alias(b), held))
     joined = docs.join(spans, (F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NULL_KEY)) == F.col(k)) & (F.hash(f"`{text}`") == F.col(b)), "left").drop(k, b)
 
     def keep(batch: pa.RecordBatch) -> list[pa.Array]:
