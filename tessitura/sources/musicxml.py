@@ -22,7 +22,16 @@ def read_measures(spark: SparkSession, path: str) -> DataFrame:
     """fixture (file name without suffix), part_idx, measure_idx, number, attributes and notes of partwise documents."""
     docs = spark.read.format("xml").option("rowTag", "score-partwise").schema(DOCUMENT).load(path)
     name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.[^./]+$", 1)
-    parts = docs.select(name.alias("fixture"), F.posexplode("part").alias("part_idx", "_p"))
+    return _measures(docs.select(name.alias("fixture"), "part"))
+
+
+def parse_measures(df: DataFrame, name: str, text: str) -> DataFrame:
+    """Like ``read_measures``, from a column of documents; ``name`` becomes the fixture."""
+    return _measures(df.select(F.col(name).alias("fixture"), F.from_xml(text, DOCUMENT).alias("_x")).select("fixture", "_x.part"))
+
+
+def _measures(docs: DataFrame) -> DataFrame:
+    parts = docs.select("fixture", F.posexplode("part").alias("part_idx", "_p"))
     rows = parts.select("fixture", "part_idx", F.posexplode("_p.measure").alias("measure_idx", "_m"))
     return rows.select("fixture", "part_idx", "measure_idx", F.col("_m._number").alias("number"), F.try_element_at("_m.attributes", F.lit(1)).alias("attributes"), F.coalesce("_m.note", F.array().cast(f"array<{NOTE}>")).alias("notes"))
 
