@@ -52,3 +52,13 @@ def units(num: Column, den: Column, divisions: Column) -> Column:
     """A duration of ``num / den`` whole notes in divisions of a quarter; null if that is no integer."""
     total = num * 4 * divisions
     return F.when(total % den == 0, (total / den).cast("int"))
+
+
+def duration_of(filled: Column, stem: Column, flags: Column, dots: Column) -> tuple[Column, Column]:
+    """(numerator, denominator) of a note from its looks: open heads are wholes or halves, filled ones quarters less their flags.
+
+    Each dot adds half of what the one before added, so that ``d`` dots make 2 - 2**-d times the length.
+    """
+    den = F.when(filled, F.when(stem & flags.between(1, 4), F.shiftleft(F.lit(4), 1) * F.element_at(F.array(*map(F.lit, (1, 2, 4, 8))), F.greatest(F.lit(1), F.least(flags, F.lit(4))))).otherwise(4)).otherwise(F.when(stem, 2).otherwise(1))
+    over = F.element_at(F.array(*map(F.lit, (1, 2, 4, 8))), F.least(F.greatest(dots, F.lit(0)), F.lit(3)) + 1)
+    return (2 * over - 1).cast("int"), (den * over).cast("int")

@@ -252,3 +252,19 @@ def grid_components(cells: DataFrame, keys: Sequence[str], x: str, y: str, *, co
 
     fields = ", ".join(f"`{k}` {cells.schema[k].dataType.simpleString()}" for k in keys)
     return cells.groupBy(*keys).applyInPandas(label, f"{fields}, component long, area long, cx double, cy double, x0 int, y0 int, x1 int, y1 int")
+
+
+#: Scores by which a lone symbol, a rest alone and a rest beside notes fill a measure.
+LONE_FILL, REST_FILL, REST_BESIDE_NOTES = 0.4, 1.5, -2.0
+
+
+def context_hypotheses(symbols: DataFrame, keys: Sequence[str], expected: Column) -> DataFrame:
+    """One more hypothesis for symbols (is_rest, known) that may fill their measure: a lone symbol, or any rest.
+
+    ``known``: whether a hypothesis of that length is there already; these get none. Adds ticks, visual_score and evidence.
+    """
+    counts = symbols.groupBy(*keys).agg(F.count("*").alias("_n"), F.count_if(~F.col("is_rest")).alias("_notes"))
+    met = symbols.join(counts, list(keys)).where(~F.col("known") & ((F.col("_n") == 1) | F.col("is_rest")))
+    score = F.when(F.col("_n") == 1, LONE_FILL).when(F.col("_notes") == 0, REST_FILL).otherwise(REST_BESIDE_NOTES)
+    name = F.when(F.col("_n") == 1, "single_symbol_measure_fill").otherwise("full_measure_rest_context")
+    return met.withColumns({"ticks": expected.cast("int"), "visual_score": score, "evidence": name}).drop("_n", "_notes")

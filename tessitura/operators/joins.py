@@ -108,3 +108,30 @@ def merge_upsert(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, sa
         return pd.DataFrame(kept, columns=frame.columns)
 
     return df.groupBy(*keys).applyInPandas(fold, df.schema)
+
+
+def interval_or_any(points: DataFrame, intervals: DataFrame, keys: Sequence[str], scope: Sequence[str], row: Sequence[str], point: str, start: str, end: str, order: Sequence[str]) -> DataFrame:
+    """Each point with the first interval of its ``keys`` that holds it; where its ``keys`` have none at all, of all those of its ``scope``."""
+    own = intervals.select(*keys).distinct()
+    here = interval_join(points.join(own, list(keys), "left_semi"), intervals, keys, point, start, end)
+    others = intervals.select(*scope, *(c for c in intervals.columns if c not in keys))
+    far = interval_join(points.join(own, list(keys), "left_anti"), others, scope, point, start, end)
+    return first_match(here.unionByName(far), row, order)
+
+
+def linked_or_zipped(notes: DataFrame, glyphs: DataFrame, keys: Sequence[str], note_id: str, glyph_id: str, note_order: Sequence[str], glyph_order: Sequence[str]) -> DataFrame:
+    """(keys, note id, glyph id): by equal ids where half of a group's notes or more have one, else by position, the shorter side deciding."""
+    total = notes.groupBy(*keys).agg(F.count("*").alias("_n"))
+    same = notes.join(glyphs, [*(notes[k] == glyphs[k] for k in keys), notes[note_id] == glyphs[glyph_id]]).select(*(notes[k] for k in keys), notes[note_id], glyphs[glyph_id])
+    linked = same.groupBy(*keys).agg(F.count("*").alias("_l"))
+    state = total.join(linked, list(keys), "left").select(*keys, (F.coalesce("_l", F.lit(0)) >= F.greatest(F.lit(1), F.floor(F.col("_n") * 0.5))).alias("_direct"))
+    direct = same.join(state.where("_direct"), list(keys)).drop("_direct")
+    zipped = zip_by_position(notes.select(*keys, note_id, *(c for c in note_order if c != note_id)), glyphs.select(*keys, glyph_id, *(c for c in glyph_order if c != glyph_id)), keys, note_order, glyph_order)
+    return direct.select(*keys, note_id, glyph_id).unionByName(zipped.join(state.where("not _direct"), list(keys)).select(*keys, note_id, glyph_id))
+
+
+def spanned(bars: DataFrame, members: DataFrame, keys: Sequence[str], staff: str, system: str, bar: Sequence[str], *, share: float = 0.4) -> DataFrame:
+    """(keys, system, bar) of bars that cross ``share`` of a system's staves or more, at least one."""
+    size = members.groupBy(*keys, system).agg(F.count("*").alias("_n"))
+    met = bars.join(members, [*keys, staff]).groupBy(*keys, system, *bar).agg(F.count("*").alias("_hits"))
+    return met.join(size, [*keys, system]).where(F.col("_hits") >= F.greatest(F.lit(1.0), F.col("_n") * share)).drop("_hits", "_n")

@@ -86,3 +86,66 @@ def hash_split(df: DataFrame, name: str, fraction: float) -> DataFrame:
         return df.withColumn("is_validation", F.lit(False))
     last = df.select(digest.alias("d")).orderBy("d").limit(take).agg(F.max("d")).first()[0]
     return df.withColumn("is_validation", digest <= last)
+
+
+def at_least(df: DataFrame, value: str, klass: str | None, minimums: Mapping[object, float], default: float) -> DataFrame:
+    """Rows whose value reaches the minimum of their class, or ``default``."""
+    least = F.lit(default)
+    for name, low in minimums.items() if klass else ():
+        least = F.when(F.col(klass) == name, F.lit(low)).otherwise(least)
+    return df.where(F.col(value) >= least)
+
+
+def having(df: DataFrame, keys: Sequence[str], condition: Column, *, least: int = 1) -> DataFrame:
+    """The rows of groups in which ``least`` rows or more satisfy ``condition``."""
+    return df.join(df.groupBy(*keys).agg(F.count_if(condition).alias("_n")).where(F.col("_n") >= least).drop("_n"), list(keys), "left_semi")
+
+
+def contains_text(df: DataFrame, needle: str, columns: Sequence[str]) -> DataFrame:
+    """Rows whose columns, joined by spaces, hold ``needle``, whatever its case; an empty one keeps all."""
+    wanted = needle.strip().lower()
+    return df.where(F.contains(F.lower(F.concat_ws(" ", *columns)), F.lit(wanted))) if wanted else df
+
+
+def rescue(base: DataFrame, more: DataFrame, groups: DataFrame, keys: Sequence[str], *, few: float, growth: float = 1.5) -> DataFrame:
+    """For each group its ``base`` rows, or those of ``more`` where the base is scarce and more are not out of all proportion.
+
+    Scarce: fewer rows than ``few`` a unit of the group's ``size``; proportion: at most ``growth`` times, rounded half to even.
+    """
+    n = base.groupBy(*keys).agg(F.count("*").alias("_n"))
+    m = more.groupBy(*keys).agg(F.count("*").alias("_m"))
+    counted = groups.join(n, list(keys), "left").join(m, list(keys), "left").fillna(0, ["_n", "_m"])
+    better = (F.col("_n") < few * F.col("size")) & (F.col("_m") > F.col("_n")) & (F.col("_m") <= F.bround(F.col("_n") * growth, 0))
+    chosen = counted.select(*keys, better.alias("rescued"))
+    return base.join(chosen.where("not rescued"), list(keys)).unionByName(more.join(chosen.where("rescued"), list(keys)))
+
+
+def accepted_bars(clusters: DataFrame, keys: Sequence[str], group: str) -> DataFrame:
+    """(keys, x, weak) of the bars that groups of close clusters (x, width, side, relative) stand for.
+
+    Of several clusters the rightmost counts. One alone counts if it is wide and clean at its sides; if it is narrower, cleaner and not at
+    the front, it counts as weak.
+    """
+    width, side = F.col("c.width"), F.col("c.side")
+    one = clusters.groupBy(*keys, group).agg(F.count("*").alias("n"), F.max(F.struct("x", "width", "side", "relative")).alias("c"))
+    strong = (F.col("n") > 1) | ((width >= 4) & (side <= 0.25))
+    weak = (width >= 3) & (side <= 0.05) & (F.col("c.relative") >= 0.28)
+    return one.where(strong | weak).select(*keys, F.col("c.x").alias("x"), (~strong).alias("weak"))
+
+
+def best_per(df: DataFrame, keys: Sequence[str], score: Column, tie: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Of each group the row of highest score, of equal ones the first by ``tie``: a partial aggregation over a struct."""
+    best = df.groupBy(*keys).agg(F.min(F.struct((-score).alias("_s"), *tie, *(c for c in columns if c not in tie))).alias("_b"))
+    return best.select(*keys, *(F.col(f"_b.{c}").alias(c) for c in columns))
+
+
+def first_of_equal(df: DataFrame, same: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Of rows equal in ``same`` the first."""
+    place = F.row_number().over(Window.partitionBy(*same).orderBy(*order))
+    return df.withColumn("_place", place).where("_place = 1").drop("_place")
+
+
+def ordered(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, object] | str], out: str = "position") -> DataFrame:
+    """Numbers rows from 0 by ``order``; a pair names a column and what stands for its nulls."""
+    by = [F.coalesce(o[0], F.lit(o[1])) if isinstance(o, tuple) else F.col(o) for o in order]
+    return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*by)) - 1)

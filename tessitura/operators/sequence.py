@@ -117,3 +117,47 @@ def periodicity(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     shares = flags.groupBy(*keys).agg(F.count("*").alias("_n"), *(F.avg(f"_{k}").alias(f"_{k}") for k in lags)).where(F.col("_n") >= least_rows)
     best = F.array_max(F.array(*(F.struct(F.col(f"_{k}").alias("share"), F.lit(-i).alias("i"), F.lit(k).alias("lag")) for i, k in enumerate(lags))))
     return shares.withColumn("_b", best).where(F.col("_b.share") > above).select(*keys, F.col("_b.lag").alias("best_lag"), F.col("_b.share").alias("best_share"))
+
+
+def merge_runs(df: DataFrame, keys: Sequence[str], position: str, gap: float) -> DataFrame:
+    """(keys, run, start, end, length): positions at most ``gap`` apart brought together, the length counting both ends."""
+    grouped = gap_clusters(df.select(*keys, position).distinct(), keys, [position], F.col(position), gap, "run")
+    return grouped.groupBy(*keys, "run").agg(F.min(position).alias("start"), F.max(position).alias("end")).withColumn("length", F.col("end") - F.col("start") + 1)
+
+
+def dispersion(df: DataFrame, keys: Sequence[str], order: Sequence[str], position: Column) -> DataFrame:
+    """(keys, dispersion): the sum of the deviations of gaps from their median, in medians; 0 for fewer than two gaps."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    gaps = df.select(*keys, (position - F.lag(position).over(w)).alias("gap"))
+    rows = gaps.groupBy(*keys).agg(F.median("gap").alias("m"), F.collect_list("gap").alias("g"))
+    off = F.aggregate("g", F.lit(0.0), lambda a, x: a + F.abs(x - F.col("m")))
+    return rows.select(*keys, F.when(F.size("g") >= 2, off / F.greatest(F.lit(1.0), F.col("m"))).otherwise(0.0).alias("dispersion"))
+
+
+def split_systems(df: DataFrame, keys: Sequence[str], order: Sequence[str], top: str, bottom: str, unit: str, out: str = "system_index") -> DataFrame:
+    """Numbers groups of consecutive bands from 0: a gap (this band's ``bottom`` less ``top`` of the one before) above a limit parts them.
+
+    The limit follows the median of ``unit`` (6 of them for up to three gaps), else the median gap (2.5 of them, within 4 to 10 units). A
+    group of more than eight bands parts again at gaps above 1.6 median gaps, or else at its first largest one, if above 1.5.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order)
+    gaps = df.withColumn("_gap", F.col(bottom) - F.lag(top).over(w))
+    stats = gaps.groupBy(*keys).agg(F.median("_gap").alias("_m"), F.median(unit).alias("_u"), F.count("_gap").alias("_n"))
+    limit = F.when(F.col("_n") <= 3, F.col("_u") * 6).otherwise(F.least(F.greatest(F.col("_u") * 4, F.col("_m") * 2.5), F.col("_u") * 10))
+    rough = gaps.join(stats, list(keys)).withColumn("_new", F.coalesce(F.col("_gap") > limit, F.lit(True)).cast("int")).withColumn("_group", F.sum("_new").over(w))
+    inside = Window.partitionBy(*keys, "_group")
+    inner = F.when(F.col("_new") == 0, F.col("_gap"))
+    rough = rough.withColumn("_size", F.count("*").over(inside)).withColumn("_inner", inner).withColumn("_most", F.max(inner).over(inside))
+    rough = rough.withColumn("_clear", F.max((F.col("_inner") > F.col("_m") * 1.6).cast("int")).over(inside))
+    largest = (F.col("_inner") == F.col("_most")) & (F.col("_most") > F.col("_m") * 1.5)
+    rough = rough.withColumn("_nth", F.sum(F.coalesce(largest, F.lit(False)).cast("int")).over(inside.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    again = (F.col("_size") > 8) & F.coalesce(F.when(F.col("_clear") == 1, F.col("_inner") > F.col("_m") * 1.6).otherwise(largest & (F.col("_nth") == 1)), F.lit(False))
+    rough = rough.withColumn("_new", ((F.col("_new") == 1) | again).cast("int"))
+    return rough.withColumn(out, (F.sum("_new").over(w) - 1).cast("int")).select(*df.columns, out)
+
+
+def box_sums(df: DataFrame, keys: Sequence[str], x: str, y: str, value: str, out: str = "total") -> DataFrame:
+    """The sum of all values up to each cell of a full grid, in both directions: one window along rows, one down columns."""
+    along = Window.partitionBy(*keys, y).orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*keys, x).orderBy(y).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn("_row", F.sum(value).over(along)).withColumn(out, F.sum("_row").over(down)).drop("_row")

@@ -60,3 +60,25 @@ def stage_metrics(detections: DataFrame, truth: DataFrame) -> DataFrame:
         F.count("*").alias("fixtures"), F.count_if(F.col("clef") == F.col("gt_clef")).alias("clef_right"), F.count_if(F.col("time") == F.col("gt_time")).alias("time_right"), F.avg("p").alias("precision"),
         F.avg("r").alias("recall"), F.avg(scores.f1(F.col("p"), F.col("r"))).alias("f1"), F.avg(F.abs(F.col("heads") - F.col("gt_notes"))).alias("count_error"),
     )
+
+
+def leak_free(found: DataFrame, truth: DataFrame) -> DataFrame:
+    """Selections (fixture, selected, valid_measures, measures) against known counts (fixture, gt); fixtures without one are left out."""
+    rows = found.join(truth, "fixture")
+    off = F.col("selected") - F.col("gt")
+    return rows.agg(
+        F.count("*").alias("fixtures"), F.count_if(off == 0).alias("exact"), F.avg(F.abs(off)).alias("mae"), F.sum("selected").alias("total_selected"), F.sum("gt").alias("total_gt"),
+        F.sum("valid_measures").alias("valid_measures"), F.sum("measures").alias("total_measures"), F.count_if(F.col("valid_measures") == F.col("measures")).alias("all_valid"),
+    )
+
+
+def supervised_summary(pages: DataFrame) -> DataFrame:
+    """Shares as texts ``n/m`` over pages: page_exact, exact_measure_count, measure_count, selected_count, gt_event_count."""
+    share = lambda a, b: F.concat_ws("/", a.cast("string"), b.cast("string"))
+    exact, every = F.sum("exact_measure_count"), F.sum("measure_count")
+    return pages.agg(F.count("*").alias("fixture_count"), share(F.count_if("page_exact"), F.count("*")).alias("page_exact"), share(exact, every).alias("exact_measures"), share(F.sum("selected_count"), F.sum("gt_event_count")).alias("selected_events"), (exact == every).alias("all_measures_exact"))
+
+
+def mean_errors(rows: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """The mean absolute difference of each named pair of columns."""
+    return rows.agg(*(F.avg(F.abs(F.col(a) - F.col(b))).alias(name) for name, (a, b) in pairs.items()))
