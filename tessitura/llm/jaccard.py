@@ -17,7 +17,7 @@ from .text import NOT_SPACE, chunks, gathered, mix, trim
 NULL_KEY = -(2**63)
 #: Bytes of text that a map task gathers before it deals out shingles; items that meet in one exact comparison; slices of a bucket that are
 #: sorted one after the other.
-GATHER_BYTES, GROUP_ITEMS, SLICES = 4 << 20, 250_000, 8
+GATHER_BYTES, GROUP_ITEMS, SLICES = 4 << 20, 1_000_000, 8
 #: Bytes of text whose shingles one part counts: at least so many, and so many times the root of all bytes, so that neither the parts nor
 #: the rows that a task deals to them become too many.
 PART_BYTES, PART_ROOT = 16 << 20, 25
@@ -240,7 +240,8 @@ def meeting_places(sets: DataFrame, labels: DataFrame, bands: Bands, limit: int)
 
     Components are cut by size: a set meets those of its own band and of the bands beside it. What holds more than ``limit`` items still is
     cut into blocks, each pair of which has a place: quadratic in the blocks, but never more than ``limit`` items in a place (or two sets),
-    and every two sets that can be similar have one. Sets that would be alone in a place have none.
+    and every two sets that can be similar have one. Sets that would be alone in a place, or only with others that meet in their own band,
+    have none there.
     """
     edges = bands.edges(sets.agg(F.coalesce(F.max("n"), F.lit(1))).first()[0] + 1).tolist()
     bounds = F.array(*map(F.lit, edges))
@@ -248,7 +249,7 @@ def meeting_places(sets: DataFrame, labels: DataFrame, bands: Bands, limit: int)
     # as the larger of a pair: only if a smaller set of the band below is similar enough
     reaches = (F.col("own") > 0) & ((F.element_at(bounds, F.greatest(F.col("own"), F.lit(1)) + 1) - 1) * bands.den >= F.col("n") * bands.num)
     placed = placed.withColumn("band", F.explode(F.when(reaches, F.array("own", F.col("own") - 1)).otherwise(F.array("own"))))
-    sums = placed.groupBy("component", "band").agg(F.sum("n").alias("banded"), F.count("*").alias("members")).where("members > 1")
+    sums = placed.groupBy("component", "band").agg(F.sum("n").alias("banded"), F.count("*").alias("members"), F.max((F.col("own") == F.col("band")).cast("int")).alias("at_home")).where("members > 1 and at_home = 1")
     placed = placed.join(sums, ["component", "band"])
     blocks = F.when(F.col("banded") <= limit, F.lit(1)).otherwise(F.ceil(F.col("banded") / (limit // 2))).cast("int")
     placed = placed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -259,7 +260,9 @@ def meeting_places(sets: DataFrame, labels: DataFrame, bands: Bands, limit: int)
 
 def linked_sets(sets: DataFrame, labels: DataFrame, width: int, bands: Bands, limit: int) -> DataFrame:
     """(node, component) of the sets that are linked with others, exactly: a class may reach over several places of its component."""
-    return components(exact_edges(sets.select("node", "text").join(meeting_places(sets, labels, bands, limit), "node"), width, bands))
+    # written down, so that Spark knows their size and moves the texts once only where the places are few
+    places = stored(meeting_places(sets, labels, bands, limit))
+    return components(exact_edges(sets.select("node", "text").join(places, "node"), width, bands))
 
 
 def exact_edges(places: DataFrame, width: int, bands: Bands) -> DataFrame:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from .text import ALPHANUMERIC, Chunk, chunks, mix
 #: Hash buckets (as bits), labelled documents learnt from, bytes of the word beginnings that count as features.
 BUCKET_BITS, TRAIN_ROWS, BEGINNINGS = 20, 20_000, (4, 5, 6, 7)
 #: Features of training texts that are summed at a time.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 # Terms for groups of people, by kind; a counterfactual swaps a term for the others of its kind.
 IDENTITY_TERMS = (
@@ -195,6 +196,15 @@ def fit(x: Presence, label: np.ndarray, kinds: list[list[np.ndarray]], *, fairne
     return weights(u), float(u[-1])
 
 
+def packed(first: int, steps: np.ndarray) -> bytes:
+    """Sorted buckets as their first and the steps between them, made small for the way to the driver."""
+    return zstandard.ZstdCompressor(level=1).compress(np.concatenate([[first], steps[1:]]).astype(np.int32).tobytes()) if len(steps) else b""
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.int32), dtype=np.int32) if blob else np.zeros(0, dtype=np.int32)
+
+
 def train(docs: DataFrame, labels: DataFrame, *, key: str, text: str, label: str, modulus: int, kept_out: int, rows: int, identity, fairness: float, ridge: float, clear_z: float, balance: float) -> Linear:
     """Learns from at most ``rows`` labelled keys, those of the smallest hashes; of each, which features it has comes to the driver."""
     known = training_labels(labels, key=key, label=label, modulus=modulus, kept_out=kept_out)
@@ -205,25 +215,30 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str, text: str, label: str
     def present(batches):
         for batch in batches:
             text, bucket = distinct_features(batch.column("text"))
-            at = np.searchsorted(text, np.arange(batch.num_rows + 1)).astype(np.int32)
-            has = pa.ListArray.from_arrays(pa.array(at), pa.array(bucket.astype(np.int32)))
+            at = np.searchsorted(text, np.arange(batch.num_rows + 1))
+            steps = np.diff(bucket, prepend=0).astype(np.int32)
+            has = pa.array([packed(bucket[a] if a < b else 0, steps[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), has], names=["id", "label", "has"])
 
     # a key that repeats is learnt from once
-    got = joined.mapInArrow(present, schema("id long, label int, has array<int>")).groupBy("id").agg(F.min(F.struct("label", "has")).alias("r")).select("id", "r.*").toArrow().sort_by("id")
+    got = joined.mapInArrow(present, schema("id long, label int, has binary")).groupBy("id").agg(F.min(F.struct("label", "has")).alias("r")).select("id", "r.*").toArrow().sort_by("id")
     truth = got["label"].to_numpy().astype(float)
     positive, total = int(truth.sum()), len(truth)
     weight = np.zeros(1 << BUCKET_BITS)
     if not 0 < positive < total:
         return Linear(weight, float(np.log((positive + 0.5) / (total - positive + 0.5))))
     kinds = [term_features(kind) for kind in identity]
-    has = got["has"].combine_chunks()
-    start, bucket = has.offsets.to_numpy().astype(np.int64), has.values.to_numpy()
+    each = [unpacked(blob) for blob in got["has"].to_pylist()]
+    del got
+    start = np.concatenate([[0], np.cumsum([len(x) for x in each])])
+    bucket = np.concatenate(each)
+    del each
     seen = np.zeros(1 << BUCKET_BITS, dtype=bool)
     seen[bucket] = True
     seen[[b for kind in kinds for t in kind for b in t]] = True
     place = (np.cumsum(seen) - 1).astype(np.int32)
-    x = Presence(start, place[bucket], int(seen.sum()))
+    bucket = place[bucket]
+    x = Presence(start, bucket, int(seen.sum()))
     weight[seen], bias = fit(x, truth, [[place[t].astype(np.int64) for t in kind] for kind in kinds], fairness=fairness, ridge=ridge, clear_z=clear_z, balance=balance)
     return Linear(weight, bias)
 
