@@ -14,7 +14,9 @@ def bands(spark, ys):
 
 
 def test_bands_do_not_overlap(spark):
-    assert bands(spark, [0, 10, 20, 30, 40, 60, 80, 100, 120]) == [[0, 10, 20, 30, 40]]
+    # gaps of twice the interline get a line in their middle first
+    assert bands(spark, [0, 10, 20, 30, 40, 60, 80, 100, 120]) == [[0, 10, 20, 30, 40], [50, 60, 70, 80, 90]]
+    assert bands(spark, range(0, 90, 10)) == [[0, 10, 20, 30, 40]]
     assert bands(spark, [*range(0, 50, 10), *range(100, 150, 10)]) == [[0, 10, 20, 30, 40], [100, 110, 120, 130, 140]]
 
 
