@@ -41,9 +41,14 @@ def barlines(runs: DataFrame, bands: DataFrame, *, ratio: float = 5.0, gap: int
 def stems(runs: DataFrame, bands: DataFrame, *, low: float = 2.0, high: float = 6.0) -> DataFrame:
     """page_id, stem_idx, staff_index, x_center, y0, y1, interline_px: runs of stem height, those of neighbouring columns together, at their nearest band."""
     page = bands.groupBy("page_id").agg(F.median("interline_px").alias("i"))
-    tall = runs.join(page, "page_id").where((F.col("y1") - F.col("y0")).between(F.col("i") * low, F.col("i") * high)).withColumn("half", F.floor((F.col("y0") + F.col("y1")) / F.col("i") / 8))
-    grouped = sequence.gap_clusters(tall, ["page_id", "half"], ["x", "y0"], F.col("x"), 1).groupBy("page_id", "half", "cluster").agg(F.avg("x").alias("x_center"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
-    numbered = grouped.withColumn("stem_idx", F.row_number().over(Window.partitionBy("page_id").orderBy("x_center", "y0")) - 1).drop("half", "cluster")
+    tall = runs.join(page, "page_id").where((F.col("y1") - F.col("y0")).between(F.col("i") * low, F.col("i") * high))
+    # neighbouring columns first, then those whose runs overlap
+    columns = sequence.gap_clusters(tall, ["page_id"], ["x", "y0"], F.col("x"), 1, "column")
+    w = Window.partitionBy("page_id", "column").orderBy("y0", "x")
+    apart = F.coalesce(F.col("y0") >= F.max("y1").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    parted = columns.withColumn("_new", apart.cast("int")).withColumn("cluster", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    grouped = parted.groupBy("page_id", "column", "cluster").agg(F.avg("x").alias("x_center"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
+    numbered = grouped.withColumn("stem_idx", F.row_number().over(Window.partitionBy("page_id").orderBy("x_center", "y0")) - 1).drop("column", "cluster")
     middle = bands.select("page_id", "staff_index", "interline_px", F.col("line_ys")[2].alias("middle"))
     near = joins.nearest(numbered, middle, ["page_id"], ["page_id", "stem_idx"], F.abs((F.col("y0") + F.col("y1")) / 2 - F.col("middle")), ["staff_index"])
     return near.drop("distance", "middle")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry
@@ -22,7 +24,9 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _gray_pages(batch: pa.RecordBatch):
-    for row in batch.select(["page_id", "height", "width", "channels", "data"]).to_pylist():
+    """The pages of a batch, decoded one by one."""
+    for k in range(batch.num_rows):
+        (row,) = batch.slice(k, 1).select(["page_id", "height", "width", "channels", "data"]).to_pylist()
         yield row["page_id"], pixels.luminance(row["data"], row["height"], row["width"], row["channels"])
 
 
@@ -44,24 +48,59 @@ def page_components(pages: DataFrame, *, method: str = "sauvola", connectivity:
     return pages.mapInArrow(find, COMPONENT)
 
 
+def clear_components(pages: DataFrame, bands: DataFrame, *, method: str = "otsu", half: int = 1) -> DataFrame:
+    """Ink components of every page that has bands, without the rows of staff lines and ``half`` rows beside them."""
+    lines = bands.groupBy("page_id").agg(F.flatten(F.collect_list("line_ys")).alias("lines"))
+    names = [x.split()[0] for x in COMPONENT.split(", ")]
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
+
+    def find(batches):
+        for batch in batches:
+            for k, (page, gray) in enumerate(_gray_pages(batch)):
+                ink = pixels.erase_rows(_binary(gray, method), [round(y) for y in batch.column("lines")[k].as_py()], half)
+                rows = [(page, i, *c) for i, c in enumerate(pixels.components(ink, 8))]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    return pages.join(lines, "page_id").mapInArrow(find, COMPONENT)
+
+
 def row_profiles(pages: DataFrame, *, method: str = "otsu") -> DataFrame:
-    """page_id, y, ink: ink pixels of each row."""
+    """page_id, y, ink, first, last, width: ink pixels of each row, its first and last (null without any), and the page's width."""
 
     def measure(batches):
         for batch in batches:
             for page, gray in _gray_pages(batch):
-                ink = _binary(gray, method).sum(axis=1).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([page] * len(ink)), pa.array(np.arange(len(ink), dtype=np.int32)), pa.array(ink)], names=["page_id", "y", "ink"])
+                dark = _binary(gray, method).astype(bool)
+                ink, none = dark.sum(axis=1).astype(np.int64), ~dark.any(axis=1)
+                first, last = dark.argmax(axis=1), dark.shape[1] - 1 - dark[:, ::-1].argmax(axis=1)
+                places = [pa.array(x.astype(np.int32), mask=none) for x in (first, last)]
+                yield pa.RecordBatch.from_arrays([pa.array([page] * len(ink)), pa.array(np.arange(len(ink), dtype=np.int32)), pa.array(ink), *places, pa.array(np.full(len(ink), dark.shape[1], dtype=np.int32))], names=["page_id", "y", "ink", "first", "last", "width"])
+
+    return pages.mapInArrow(measure, "page_id string, y int, ink long, first int, last int, width int")
 
-    return pages.mapInArrow(measure, "page_id string, y int, ink long")
 
+def gaussian(sigma: float) -> list[float]:
+    """A kernel of three sigmas, odd, summing to 1."""
+    half = max(3, round(sigma * 3)) // 2
+    weights = [math.exp(-(k * k) / (2 * sigma * sigma)) for k in range(-half, half + 1)]
+    return [w / sum(weights) for w in weights]
 
-def staff_lines(profiles: DataFrame, *, sigma: float = 1.2, gap: int = 4) -> DataFrame:
-    """Centres of groups of rows whose ink reaches the page's mean plus ``sigma`` deviations: page_id, line, y, ink."""
-    level = profiles.groupBy("page_id").agg((F.avg("ink") + F.lit(sigma) * F.stddev_pop("ink")).alias("level"))
-    strong = profiles.join(level, "page_id").where("ink >= level")
+
+def staff_lines(profiles: DataFrame, *, smoothing: float = 2.0, sigma: float = 1.2, gap: int = 3, span: float = 0.5) -> DataFrame:
+    """Centres of groups of rows whose smoothed ink reaches the page's mean plus ``sigma`` deviations: page_id, line, y, ink.
+
+    Where profiles tell the first and last ink of rows, lines whose ink spans less than ``span`` of the page, as of text, go.
+    """
+    smooth = sequence.smooth(profiles, ["page_id"], ["y"], "ink", gaussian(smoothing), "smooth")
+    level = smooth.groupBy("page_id").agg((F.avg("smooth") + F.lit(sigma) * F.stddev_pop("smooth")).alias("level"))
+    strong = smooth.join(level, "page_id").where("smooth >= level")
     grouped = sequence.gap_clusters(strong, ["page_id"], ["y"], F.col("y"), gap, "line")
-    return aggregate.weighted_centroid(grouped, ["page_id", "line"], {"y": "y"}, "ink")
+    lines = aggregate.weighted_centroid(grouped, ["page_id", "line"], {"y": "y"}, "ink")
+    if "first" not in profiles.columns:
+        return lines
+    wide = profiles.where(F.col("last") - F.col("first") >= F.floor(F.col("width") * span)).select("page_id", F.col("y").alias("_y")).distinct()
+    return lines.withColumn("_y", F.bround("y", 0).cast("int")).join(wide, ["page_id", "_y"], "left_semi").drop("_y")
 
 
 def _gaps(ys: Column) -> Column:
