@@ -9,7 +9,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tessitura.plans import table_queries
+from tessitura.plans import layout_queries, score_queries, table_queries  # noqa: F401  (their queries register themselves)
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,7 +23,7 @@ def duck():
 
 
 def plain(x):
-    if x is None or x is pd.NaT or (isinstance(x, float) and math.isnan(x)):
+    if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and math.isnan(x)):
         return "null"
     if isinstance(x, (int, float)) or hasattr(x, "dtype"):
         return repr(round(float(x), 6)) if str(getattr(x, "dtype", "int"))[0] != "b" else str(bool(x))
