@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -197,7 +197,7 @@ def fit(x: Presence, label: np.ndarray, kinds: list[list[np.ndarray]], *, fairne
 
 
 def packed(first: int, steps: np.ndarray) -> bytes:
-    """Sorted buckets as their first and the steps between them, made small for the way to the driver."""
+    """Sorted buckets as their first and the steps between them, made small for the way to the task that learns."""
     return zstandard.ZstdCompressor(level=1).compress(np.concatenate([[first], steps[1:]]).astype(np.int32).tobytes()) if len(steps) else b""
 
 
@@ -205,42 +205,55 @@ def unpacked(blob: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.int32), dtype=np.int32) if blob else np.zeros(0, dtype=np.int32)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, key: str, text: str, label: str, modulus: int, kept_out: int, rows: int, identity, fairness: float, ridge: float, clear_z: float, balance: float) -> Linear:
-    """Learns from at most ``rows`` labelled keys, those of the smallest hashes; of each, which features it has comes to the driver."""
-    known = training_labels(labels, key=key, label=label, modulus=modulus, kept_out=kept_out)
-    sample = F.broadcast(known.orderBy(F.xxhash64("label_key"), "label_key").limit(rows))
-    slim = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    joined = slim.join(sample, F.col("id") == F.col("label_key")).select("id", "label", "text")
+def present(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, label, n, has) of (id, label, text): how many and which features a text has."""
+    for batch in batches:
+        text, bucket = distinct_features(batch.column("text"))
+        at = np.searchsorted(text, np.arange(batch.num_rows + 1))
+        steps = np.diff(bucket, prepend=0).astype(np.int32)
+        has = pa.array([packed(bucket[a] if a < b else 0, steps[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(np.diff(at)), has], names=["id", "label", "n", "has"])
 
-    def present(batches):
-        for batch in batches:
-            text, bucket = distinct_features(batch.column("text"))
-            at = np.searchsorted(text, np.arange(batch.num_rows + 1))
-            steps = np.diff(bucket, prepend=0).astype(np.int32)
-            has = pa.array([packed(bucket[a] if a < b else 0, steps[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), has], names=["id", "label", "has"])
 
-    # a key that repeats is learnt from once
-    got = joined.mapInArrow(present, schema("id long, label int, has binary")).groupBy("id").agg(F.min(F.struct("label", "has")).alias("r")).select("id", "r.*").toArrow().sort_by("id")
-    truth = got["label"].to_numpy().astype(float)
+def learnt(texts: pa.Table, identity, **how) -> tuple[np.ndarray, float]:
+    """Weights of all buckets and bias from (id, label, n, has), the same for any order of its rows; without both labels a bias alone."""
+    texts = texts.sort_by("id")
+    truth = texts["label"].to_numpy().astype(float)
     positive, total = int(truth.sum()), len(truth)
     weight = np.zeros(1 << BUCKET_BITS)
     if not 0 < positive < total:
-        return Linear(weight, float(np.log((positive + 0.5) / (total - positive + 0.5))))
+        return weight, float(np.log((positive + 0.5) / (total - positive + 0.5)))
     kinds = [term_features(kind) for kind in identity]
-    each = [unpacked(blob) for blob in got["has"].to_pylist()]
-    del got
-    start = np.concatenate([[0], np.cumsum([len(x) for x in each])])
-    bucket = np.concatenate(each)
-    del each
+    start = np.concatenate([[0], np.cumsum(texts["n"].to_numpy())])
+    bucket = np.empty(start[-1], dtype=np.int32)
+    for i, blob in enumerate(texts["has"]):
+        bucket[start[i] : start[i + 1]] = unpacked(blob.as_py())
     seen = np.zeros(1 << BUCKET_BITS, dtype=bool)
     seen[bucket] = True
     seen[[b for kind in kinds for t in kind for b in t]] = True
     place = (np.cumsum(seen) - 1).astype(np.int32)
-    bucket = place[bucket]
+    np.take(place, bucket, out=bucket, mode="clip")
     x = Presence(start, bucket, int(seen.sum()))
-    weight[seen], bias = fit(x, truth, [[place[t].astype(np.int64) for t in kind] for kind in kinds], fairness=fairness, ridge=ridge, clear_z=clear_z, balance=balance)
-    return Linear(weight, bias)
+    weight[seen], bias = fit(x, truth, [[place[t].astype(np.int64) for t in kind] for kind in kinds], **how)
+    return weight, bias
+
+
+def train(docs: DataFrame, labels: DataFrame, *, key: str, text: str, label: str, modulus: int, kept_out: int, rows: int, identity, **how) -> Linear:
+    """Learns from at most ``rows`` labelled keys, those of the smallest hashes; one task has which features each has, the driver gets the weights."""
+    known = training_labels(labels, key=key, label=label, modulus=modulus, kept_out=kept_out)
+    sample = F.broadcast(known.orderBy(F.xxhash64("label_key"), "label_key").limit(rows))
+    slim = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    joined = slim.join(sample, F.col("id") == F.col("label_key")).select("id", "label", "text")
+
+    def learn(batches):
+        weight, bias = learnt(pa.Table.from_batches(batches, pa.schema({"id": pa.int64(), "label": pa.int32(), "n": pa.int64(), "has": pa.binary()})), identity, **how)
+        yield pa.RecordBatch.from_arrays([pa.array([bias]), pa.array([zstandard.compress(weight.tobytes())], pa.binary())], names=["bias", "weight"])
+
+    # a key that repeats is learnt from once
+    texts = joined.mapInArrow(present, schema("id long, label int, n long, has binary")).groupBy("id").agg(F.min(F.struct("label", "n", "has")).alias("r")).select("id", "r.*")
+    for model in texts.repartition(1).mapInArrow(learn, schema("bias double, weight binary")).toArrow().to_pylist():
+        return Linear(np.frombuffer(zstandard.decompress(model["weight"])), model["bias"])
+    return Linear(np.zeros(1 << BUCKET_BITS), 0.0)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", modulus: int = 4, kept_out: int = 2, threshold: float = 0.3, rows: int = TRAIN_ROWS, identity: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, fairness: float = 50.0, ridge: float = 0.5, clear_z: float = 6.5, balance: float = 0.5) -> DataFrame:
