@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, union_find
 from .rowfilter import row_filter
 from .shared import bounded_batches, discard, schema, stored, written
 from .sketches import Bands, exact_classes, sketch_keys
@@ -170,26 +170,6 @@ def alone_in(packs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return nodes[got], total[got]
 
 
-def union_find(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The edges (node, least node of its class) that hold together what the edges (u, v) do."""
-    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
-    parent = list(range(len(nodes)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for a, b in zip(at[: len(u)].tolist(), at[len(u) :].tolist(), strict=True):
-        a, b = root(a), root(b)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-    roots = np.array([root(x) for x in range(len(nodes))], dtype=np.int64)
-    moved = roots != np.arange(len(nodes))
-    return nodes[moved], nodes[roots[moved]]
-
-
 def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """One (key, least node) for each key, and the edges from that node to the others of the key."""
     order = np.lexsort((nodes, keys))
