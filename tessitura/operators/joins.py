@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_, or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -56,6 +58,79 @@ def scored_attach(left: DataFrame, right: DataFrame, keys: Sequence[str], row: S
     return nearest(left, right, keys, row, -score, tie).where(-F.col("distance") > above).withColumn("score", -F.col("distance")).drop("distance")
 
 
+def nearest_on_line(left: DataFrame, right: DataFrame, keys: Sequence[str], row: Sequence[str], at: str, to: str, order: Callable[[Column, Column], list[Column]], tie: Sequence[str], *, width: float | None = None, wanted: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(row, tie, distance): for each ``row`` the right row of equal ``keys`` that comes first by ``order`` of (``at``, ``to``), then by ``tie``, nulls last.
+
+    ``distance`` is the last column of ``order``, which must depend on the two numbers alone and never come earlier when ``to`` moves away from
+    ``at`` on either side. So only the neighbours of ``at`` are tried, never all pairs of a key. ``wanted``, of ``distance``, names the results
+    to return; what comes before a wanted one must be wanted too.
+
+    With ``width`` a key's line is cut into slots of that length, sorted apart; neighbours beyond a slot come from a table of slots. Null, NaN
+    and infinite ``to`` (four a key at most) are tried for each row. Rows whose neighbour is as near in floating point as the one behind it are
+    compared with all positions of their key, and so is each null, NaN or infinite ``at`` of a key once.
+    """
+    keys, row = list(keys), list(row)
+    here = [*keys, "_slot"]
+    finite = lambda c: F.coalesce(F.abs(c) < F.lit(float("inf")), F.lit(False))
+    slot = lambda c: F.lit(0) if width is None else F.floor(F.col(c) / F.lit(width))
+    last = lambda c, w, end: F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, end))
+
+    def ranked(a: Column, b: Column) -> Column:
+        return F.struct(*(c.alias(f"_{i}") for i, c in enumerate(order(a, b))))
+
+    known = lambda df: df.where(F.expr(" and ".join(f"`{k}` is not null" for k in keys)))
+    lefts = known(left).select(*dict.fromkeys([*keys, *row]), F.col(at).alias("_at"))
+    tied = F.struct(*(c for t in tie for c in (F.col(t).isNull().alias(f"_no_{t}"), F.col(t))))
+    rights = known(right).groupBy(*keys, F.col(to).alias("_to")).agg(F.min(tied).alias("_tie"))
+    lefts_on, rights_on = (df.where(finite(F.col(c))).withColumn("_slot", slot(c)) for df, c in ((lefts, "_at"), (rights, "_to")))
+
+    along, by_slot, down = Window.partitionBy(*here).orderBy("_to"), Window.partitionBy(*keys).orderBy("_slot"), Window.partitionBy(*keys).orderBy(F.desc("_slot"))
+    point = F.struct("_to", F.lag("_to").over(along).alias("_prev"), F.lead("_to").over(along).alias("_next"), "_tie")
+    points = rights_on.select(*here, F.col("_to").alias("_x"), point.alias("_point"))
+
+    # the neighbours of a slot, with those behind them, and the positions off the line, for slots of either side
+    held = points.groupBy(*here).agg(F.max("_point").alias("_hi"), F.min("_point").alias("_lo"))
+    slots = held.unionByName(lefts_on.select(*here).distinct(), allowMissingColumns=True).groupBy(*here).agg(F.max("_hi").alias("_hi"), F.min("_lo").alias("_lo"))
+    slots = slots.withColumns({"_under": last("_hi._to", by_slot, -1), "_over": last("_lo._to", down, -1)})
+    ends = {c: F.when(F.col(c).isNotNull(), F.col(c).withField(f, F.coalesce(f"{c}.{f}", beyond))) for c, f, beyond in (("_hi", "_prev", "_under"), ("_lo", "_next", "_over"))}
+    slots = slots.withColumns(ends).select(*here, last("_hi", by_slot, -1).alias("_lower"), last("_lo", down, -1).alias("_upper"))
+    off = rights.where(~finite(F.col("_to"))).groupBy(*keys).agg(F.collect_list(F.struct("_to", "_tie")).alias("_off"))
+    slots = slots.join(off, keys, "left")
+
+    both = lefts_on.withColumns({"_x": F.col("_at"), "_left": F.lit(True)}).unionByName(points, allowMissingColumns=True)
+    up, down = (Window.partitionBy(*here).orderBy(x, F.col("_point").isNull()) for x in (F.asc("_x"), F.desc("_x")))
+    filled = both.select("*", last("_point", up, Window.currentRow).alias("_below"), last("_point", down, Window.currentRow).alias("_above")).where("_left")
+    behind = {"_prev": F.coalesce("_below._prev", F.when(F.col("_below").isNotNull(), F.col("_lower._to")), "_lower._prev"), "_next": F.coalesce("_above._next", F.when(F.col("_above").isNotNull(), F.col("_upper._to")), "_upper._next")}
+    met = filled.join(slots, here).withColumns({**behind, "_below": F.coalesce("_below", "_lower"), "_above": F.coalesce("_above", "_upper")})
+
+    def judged(p: Column) -> Column:
+        return F.struct(ranked(F.col("_at"), p["_to"]).alias("rank"), p["_tie"].alias("tie"))
+
+    def level(near: str, beyond: str) -> Column:
+        """Whether the position behind the neighbour comes no later, but for its tie."""
+        alike = (x.eqNullSafe(y) for x, y in zip(order(F.col("_at"), F.col(near)), order(F.col("_at"), F.col(beyond)), strict=True))
+        return F.col(beyond).isNotNull() & reduce(and_, alike)
+
+    tries = {f"_try{i}": F.when(F.col(c).isNotNull(), judged(F.col(c))) for i, c in enumerate(("_below", "_above"))}
+    tries["_try2"] = F.when(F.col("_off").isNotNull(), F.array_min(F.transform("_off", judged)))
+    more = {"_more0": level("_below._to", "_prev"), "_more1": level("_above._to", "_next")}
+    found = met.select(*lefts.columns, *(c.alias(n) for n, c in {**tries, **more}.items())).withColumn("_best", F.least(*tries)).where("_best is not null")
+    name = f"_{len(order(F.lit(0.0), F.lit(0.0))) - 1}"
+    keep = (lambda df: df) if wanted is None else (lambda df: df.where(wanted(F.col(f"_best.rank.{name}"))))
+    found = keep(found).withColumn("_more", reduce(or_, (F.coalesce(F.col(f"_more{i}") & (F.col(f"_try{i}.rank") == F.col("_best.rank")), F.lit(False)) for i in range(2))))
+
+    # the hard ones, against all positions
+    judge = judged(F.struct("_to", "_tie")).alias("_best")
+    level_rows = keep(found.where("_more").select(*lefts.columns).join(rights, keys).select(*row, judge))
+    strange = lefts.where(~finite(F.col("_at")))
+    least = keep(strange.select(*keys, "_at").distinct().join(rights, keys).select(*keys, "_at", judge).groupBy(*keys, "_at").agg(F.min("_best").alias("_best")))
+    least = least.select(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)), F.col("_at").alias("_same"), "_best")
+    strange = strange.join(least, [*(F.col(k) == F.col(f"_key{i}") for i, k in enumerate(keys)), F.col("_at").eqNullSafe(F.col("_same"))])
+    every = found.where("not _more").select(*row, "_best").unionByName(level_rows).unionByName(strange.select(*row, "_best"))
+    out = every.groupBy(*row).agg(F.min("_best").alias("_best"))
+    return out.select(*row, *(F.col(f"_best.tie.{t}").alias(t) for t in tie), F.col(f"_best.rank.{name}").alias("distance"))
+
+
 def attached_having(left: DataFrame, right: DataFrame, keys: Sequence[str], row: Sequence[str], condition: Column, *, least: int) -> DataFrame:
     """The left rows with ``least`` or more partners that satisfy ``condition``, and how many (``n_attached``)."""
     return left.join(right, list(keys)).where(condition).groupBy(*row).agg(F.count("*").alias("n_attached")).where(F.col("n_attached") >= least)

@@ -138,6 +138,15 @@ def lookup_default(spark: SparkSession, sf_dir: str) -> DataFrame:
 NEAREST = """select {cols} from (select *, row_number() over (partition by c_custkey order by {order}) as rn from customer join supplier on c_nationkey = s_nationkey) where rn = 1"""
 
 
+#: About a twentieth of the range of account balances.
+ACCOUNT_SLOT = 500.0
+
+
+def accounts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    left = read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", F.col("c_nationkey").alias("nation"))
+    return left, read(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal", F.col("s_nationkey").alias("nation"))
+
+
 @query(NEAREST.format(cols="c_custkey, s_suppkey, round(abs(c_acctbal - s_acctbal), 6) as distance", order="abs(c_acctbal - s_acctbal), s_suppkey"))
 def nearest_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", F.col("c_nationkey").alias("nation"))
@@ -148,10 +157,14 @@ def nearest_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with p as (select c_custkey, s_suppkey, 2 * exp(-abs(c_acctbal - s_acctbal) / 500) - case when s_acctbal < c_acctbal then 0.25 else 0 end as score from customer join supplier on c_nationkey = s_nationkey)
 select c_custkey, s_suppkey, round(score, 6) as score from (select *, row_number() over (partition by c_custkey order by score desc, s_suppkey) as rn from p) where rn = 1 and score > 0.5""")
 def scored_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", F.col("c_nationkey").alias("nation"))
-    right = read(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal", F.col("s_nationkey").alias("nation"))
-    score = 2 * F.exp(-F.abs(F.col("c_acctbal") - F.col("s_acctbal")) / 500) - F.when(F.col("s_acctbal") < F.col("c_acctbal"), 0.25).otherwise(0.0)
-    return joins.scored_attach(left, right, ["nation"], ["c_custkey"], score, ["s_suppkey"], above=0.5).select("c_custkey", "s_suppkey", r6("score").alias("score"))
+    left, right = accounts(spark, sf_dir)
+
+    def order(a: Column, b: Column) -> list[Column]:
+        score = 2 * F.exp(-F.abs(a - b) / 500) - F.when(b < a, 0.25).otherwise(0.0)
+        return [score.isNull(), ~F.isnan(score), -score]
+
+    found = joins.nearest_on_line(left, right, ["nation"], ["c_custkey"], "c_acctbal", "s_acctbal", order, ["s_suppkey"], width=ACCOUNT_SLOT, wanted=lambda distance: -distance > 0.5)
+    return found.select("c_custkey", "s_suppkey", r6(-F.col("distance")).alias("score"))
 
 
 @query(f"""with {EV} select e.event_id, count(*) as n_attached from events_sec e join events_sec o on e.user_id = o.user_id and o.event_id <> e.event_id and abs(o.sec - e.sec) <= 300
