@@ -149,9 +149,13 @@ def accounts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @query(NEAREST.format(cols="c_custkey, s_suppkey, round(abs(c_acctbal - s_acctbal), 6) as distance", order="abs(c_acctbal - s_acctbal), s_suppkey"))
 def nearest_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", F.col("c_nationkey").alias("nation"))
-    right = read(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal", F.col("s_nationkey").alias("nation"))
-    return joins.nearest(left, right, ["nation"], ["c_custkey"], F.abs(F.col("c_acctbal") - F.col("s_acctbal")), ["s_suppkey"]).select("c_custkey", "s_suppkey", r6("distance").alias("distance"))
+    left, right = accounts(spark, sf_dir)
+
+    def order(a: Column, b: Column) -> list[Column]:
+        return [F.abs(a - b).isNull(), F.abs(a - b)]
+
+    found = joins.nearest_on_line(left, right, ["nation"], ["c_custkey"], "c_acctbal", "s_acctbal", order, ["s_suppkey"], width=ACCOUNT_SLOT)
+    return found.select("c_custkey", "s_suppkey", r6("distance").alias("distance"))
 
 
 @query("""with p as (select c_custkey, s_suppkey, 2 * exp(-abs(c_acctbal - s_acctbal) / 500) - case when s_acctbal < c_acctbal then 0.25 else 0 end as score from customer join supplier on c_nationkey = s_nationkey)
