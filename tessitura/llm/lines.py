@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import extended, spare, stored
+from .rowfilter import row_filter
+from .shared import bounded_batches, extended, spare, stored
 
 #: Stands for a null key in the order of documents: before all others.
 NULL_KEY = -(2**63)
@@ -35,12 +38,24 @@ def drop_repeated_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "te
     windows cover go, overlapping windows merged. A null text has no lines and stays null; an empty one has one empty line. Texts of fewer
     lines keep them all. Rows that repeat both key and text are one text read twice, and fare alike; a null key comes before all others.
     Extra columns stay. A window's count is partially summed before its shuffle, and hot windows meet their first place in a join that
-    adaptive execution can split.
+    adaptive execution can split. Texts without a later window are told by a row filter and are not shuffled.
     """
-    k, b, held = (spare(docs, name) for name in ("_key", "_body", "_starts"))
-    # written down, so that Spark knows their size and moves the texts only where there are many
+    bounded_batches(docs.sparkSession)
+    k, b, held, own, moves = (spare(docs, name) for name in ("_key", "_body", "_starts", "_own", "_moves"))
+    own_key, own_body = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NULL_KEY)), F.xxhash64(f"`{text}`")
     starts = stored(repeated_starts(docs, key=key, text=text, width=width).select(F.col("key").alias(k), F.col("body").alias(b), F.col("starts").alias(held)))
-    joined = docs.join(starts, (F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NULL_KEY)) == F.col(k)) & (F.xxhash64(f"`{text}`") == F.col(b)), "left").drop(k, b)
+    # only texts that may have a repeated window move; the others stay where they are read
+    some = row_filter(starts.select(F.xxhash64(k, b).alias(own)))
+    named = docs.select(F.xxhash64(own_key, own_body).alias(own), "*")
+    moved = named.mapInArrow(some.passing, named.schema).drop(own)
+    joined = moved.join(starts.hint("merge"), (own_key == F.col(k)) & (own_body == F.col(b)), "left").drop(k, b)
+
+    def whole(batch: pa.RecordBatch) -> list[pa.Array]:
+        texts = batch.column(text)
+        lines = pc.fill_null(pc.add(pc.count_substring(texts, "\n"), 1), 0).cast(pa.int64())
+        return [lines, pa.array(np.zeros(batch.num_rows, dtype=np.int64)), texts, pa.array(some.has(batch.column(own).to_numpy()))]
+
+    still = extended(named, whole, f"n_lines long, n_removed long, kept string, {moves} boolean").where(~F.col(moves)).drop(own, moves)
 
     def keep(batch: pa.RecordBatch) -> list[pa.Array]:
         total, removed, kept = [], [], []
@@ -52,4 +67,4 @@ def drop_repeated_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "te
             kept.append(body if not covered else "\n".join(x for i, x in enumerate(lines) if i not in covered))
         return [pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
 
-    return extended(joined, keep, "n_lines long, n_removed long, kept string").drop(held)
+    return still.unionByName(extended(joined, keep, "n_lines long, n_removed long, kept string").drop(held))

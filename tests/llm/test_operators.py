@@ -259,6 +259,28 @@ def test_lines(spark):
     assert lines.drop_repeated_lines(empty(spark)).count() == 0
 
 
+def test_texts_without_repeated_lines_are_not_shuffled(spark):
+    rng = random.Random(5)
+    rows = [(i, "\n".join(rng.randbytes(2000).hex() for _ in range(4))) for i in range(200)]
+    rows += [(200 + i, f"a\nb\nc\n{i}") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    context, before = spark.sparkContext._jsc.sc(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+
+    def shuffled():
+        context.listenerBus().waitUntilEmpty()
+        return context.statusStore().executorList(False).head().totalShuffleWrite()
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with a large table
+    try:
+        start = shuffled()
+        got = lines.drop_repeated_lines(df).collect()
+        moved = shuffled() - start
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {r.doc_id: (r.n_lines, r.n_removed, brute.sha(r.kept or "")) for r in got} == brute.lines_removed(rows)
+    assert moved < sum(len(text) for _, text in rows) / 10
+
+
 def test_line_edges(spark, odd):
     assert lines.drop_repeated_lines(odd).count() == len(ODD)
 
